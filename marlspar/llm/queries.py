@@ -27,9 +27,30 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read_sf(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_sf(spark, sf_dir, "documents"))
+
+
+def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transport import media_features, store_media
+
+    return media_features(store_media(read_sf(spark, sf_dir, "documents"))[0])
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(read_sf(spark, sf_dir, "pages"))[0])
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_token_ids": op5_token_ids,
+    "op7_simhash": op7_simhash,
+    "op8_transport_streams": op8_transport_streams,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
