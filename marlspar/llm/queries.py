@@ -21,6 +21,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_sf(spark, sf_dir, "documents"), _tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read_sf(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_sf(spark, sf_dir, "labels")))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_ids
 
@@ -39,6 +46,13 @@ def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(read_sf(spark, sf_dir, "documents"))[0])
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = read_sf(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -47,9 +61,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
     "op5_token_ids": op5_token_ids,
     "op7_simhash": op7_simhash,
     "op8_transport_streams": op8_transport_streams,
+    "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 
