@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_sf
+from .lines import ORACLE as LINES_SQL
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
+    """Path of the tokenizer that the queries take."""
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    kept = dedup_lines(read_sf(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read_sf(spark, sf_dir, "documents"), _tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(read_sf(spark, sf_dir, "documents"), tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +41,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_ids
 
-    return token_ids(read_sf(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    return token_ids(read_sf(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .templates import leaks
+
+    return leaks(read_sf(spark, sf_dir, "documents"), read_sf(spark, sf_dir, "benchmark"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +75,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(read_sf(spark, sf_dir, "pages"))[0])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op5_token_ids": op5_token_ids,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_transport_streams": op8_transport_streams,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": LINES_SQL}
