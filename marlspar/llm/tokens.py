@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -22,92 +23,103 @@ _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 class _Codes(dict):
     """Piece -> running code; unknown pieces are noted for encoding."""
 
-    def __init__(self, owner, lead: str):
+    def __init__(self, owner):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.fresh = owner, []
 
     def __missing__(self, piece: str) -> int:
-        code = self.owner.add(self.lead + piece, odd=bool(self.lead) and (not piece or piece[0].isspace() or piece[-1].isspace()))
-        self[piece] = code
+        self[piece] = code = self.owner.count
+        self.owner.count += 1
+        self.fresh.append((piece, code))
         return code
 
 
 class PieceEncoder:
     """``cache_chars`` bounds the characters of remembered pieces; beyond it the memory starts anew (speed only)."""
 
-    def __init__(self, tokenizer_path: str, cache_chars: int = 6_000_000):
+    #: Pieces that go to the tokenizer as one text.
+    JOINED = 512
+
+    def __init__(self, tokenizer_path: str, cache_chars: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has a character for each byte
+        for token, number in vocabulary.items():
+            self.id_bytes[number] = len(token)
         self.cache_chars = cache_chars
         self.reset()
 
     def reset(self) -> None:
-        self.bare, self.spaced = _Codes(self, ""), _Codes(self, " ")
-        self.pending: list[str] = []
-        self.odd_codes: set[int] = set()
-        self.count = self.chars = 0
+        self.bare, self.spaced = _Codes(self), _Codes(self)
+        self.odd: list[int] = []
+        self.count = self.chars = self.used = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
-
-    def add(self, piece: str, odd: bool) -> int:
-        code = self.count
-        self.count += 1
-        self.chars += len(piece) + 12
-        self.pending.append("" if odd else piece)
-        if odd:
-            self.odd_codes.add(code)
-        return code
+        self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _settle(self) -> None:
-        if not self.pending:
-            return
-        ids = self.direct(self.pending)
-        first = self.count - len(ids)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        used = int(self.ends[first - 1]) if first else 0
-        ends = used + np.cumsum(sizes)
-        while len(self.ends) < self.count:
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(self.flat) < ends[-1]:
+    def _put(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while len(self.starts) < self.count:
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.ends[first : self.count] = ends
-        self.flat[used : ends[-1]] = [x for one in ids for x in one]
-        self.pending = []
-
-    def _codes(self, text: str) -> list[int]:
-        first, *rest = text.split(" ")
-        odd = not first or first[0].isspace() or first[-1].isspace()
-        if not odd:
-            codes = [self.bare[first], *map(self.spaced.__getitem__, rest)]
-            if not self.odd_codes or self.odd_codes.isdisjoint(codes):
-                return codes
-        return [self.bare[x] for x in (_CHUNK.findall(text) if not _SEPARATORS.search(text) else [text])]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[codes], self.sizes[codes] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def _settle(self) -> None:
+        """Encode the noted pieces. Space-led ones go many to a text, and the bytes of each id tell where a piece ends."""
+        spaced, self.spaced.fresh = self.spaced.fresh, []
+        odd = [code for piece, code in spaced if not piece or piece.strip() != piece]
+        if odd:
+            self.odd += odd
+            spaced = [x for x in spaced if x[0] and x[0].strip() == x[0]]
+        if spaced:
+            pieces = [x[0] for x in spaced]
+            groups = self.direct([" " + " ".join(pieces[at : at + self.JOINED]) for at in range(0, len(pieces), self.JOINED)])
+            ids = np.fromiter(chain.from_iterable(groups), dtype=np.uint32, count=sum(map(len, groups)))
+            piece_ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), dtype=np.int64, count=len(pieces)) + 1)
+            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), piece_ends, side="left") + 1
+            self._put(np.fromiter((x[1] for x in spaced), dtype=np.int64, count=len(spaced)), ids, np.diff(last, prepend=0))
+            self.chars += int(piece_ends[-1]) + 12 * len(pieces)
+        bare, self.bare.fresh = self.bare.fresh, []
+        if bare:
+            groups = self.direct([x[0] for x in bare])
+            ids = np.array([x for one in groups for x in one], dtype=np.uint32)
+            self._put(np.array([x[1] for x in bare]), ids, np.array([len(x) for x in groups]))
+            self.chars += sum(len(x[0]) + 12 for x in bare)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end. Null counts as empty."""
         if self.chars > self.cache_chars:
             self.reset()
-        codes: list[int] = []
-        upto = np.zeros(len(texts), dtype=np.int64)
+        codes: list[list[int]] = []
+        for text in texts:
+            if not text:
+                codes.append([])
+                continue
+            first, *rest = text.split(" ")
+            own = list(map(self.spaced.__getitem__, rest))
+            codes.append([self.bare[first], *own] if first and first.strip() == first else None)
+        self._settle()
+        odd = set(self.odd)
         for k, text in enumerate(texts):
-            if text:
-                codes += self._codes(text)
-            upto[k] = len(codes)
+            if codes[k] is None or odd and not odd.isdisjoint(codes[k]):
+                codes[k] = [self.bare[x] for x in (_CHUNK.findall(text) if not _SEPARATORS.search(text) else [text])]
         self._settle()
-        c = np.array(codes, dtype=np.int64)
-        ends = self.ends[c]
-        starts = np.where(c > 0, self.ends[np.maximum(c, 1) - 1], 0)
-        sizes = ends - starts
+        upto = np.cumsum(np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)))
+        if not len(upto) or not upto[-1]:
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        c = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=int(upto[-1]))
+        sizes = self.sizes[c]
         after = np.cumsum(sizes)
-        total = int(after[-1]) if len(c) else 0
-        ids = self.flat[np.repeat(starts - (after - sizes), sizes) + np.arange(total)]
-        return ids, np.concatenate([[0], after])[upto] if len(texts) else upto
+        ids = self.flat[np.repeat(self.starts[c] - (after - sizes), sizes) + np.arange(after[-1])]
+        return ids, np.concatenate([[0], after])[upto]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
