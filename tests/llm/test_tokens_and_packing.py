@@ -1,0 +1,173 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from marlspar.llm import packing
+from marlspar.llm.token_store import BLOCK, TokenFile, encode_file, read_token_files, token_ids, write_token_files
+from marlspar.llm.tokens import PieceEncoder
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return PieceEncoder(PATH, cache_chars=3000)
+
+
+SHARED = PieceEncoder(PATH)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r\x0b\x1c\x1f\x85\xa0ab'sT.,!19é中😀<|>"), max_size=25), max_size=6))
+def test_ids_equal_the_library(texts):
+    ids, ends = SHARED.encode(texts)
+    at = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[at:end].tolist() == SHARED.tokenizer.encode(text, add_special_tokens=False).ids
+        at = end
+
+
+def test_ids_after_memory_starts_anew(plain, pieces):
+    rng = random.Random(1)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60)) for _ in range(5)] + ["", "<|endoftext|> x"]
+        ids, ends = pieces.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("n", [0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 5 * BLOCK + 7])
+@pytest.mark.parametrize("top", [1, 2, 50257, 1 << 31])
+def test_file_round_trip(n, top):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, top, n).astype(np.uint32)
+    if n:
+        ids[rng.integers(0, n, 3)] = top - 1  # outliers
+    data = encode_file(ids, np.array([7, 9]), np.array([True, False]), np.array([n // 2, n - n // 2]))
+    file = TokenFile(data)
+    assert np.array_equal(file.ids(), ids)
+    assert file.doc_ids.tolist() == [7, 9] and file.has_id.tolist() == [1, 0] and file.sizes.tolist() == [n // 2, n - n // 2]
+    for i in range(file.blocks):
+        assert np.array_equal(file.block(i), ids[i * BLOCK : (i + 1) * BLOCK])
+
+
+def test_exceptions_keep_width_small():
+    ids = np.arange(BLOCK, dtype=np.uint32) % 8
+    ids[3] = 1 << 30
+    file = TokenFile(encode_file(ids, np.zeros(1), np.ones(1), np.array([BLOCK])))
+    assert file.width.tolist() == [3] and file.position.tolist() == [3]
+    with pytest.raises(ValueError):
+        TokenFile(b"nothing of the kind" * 9)
+
+
+def test_token_ids_of_awkward_rows(documents, awkward, plain):
+    rows = token_ids(documents(awkward, extra=True), PATH).collect()
+    expected, start = [], 0
+    for i, text, *_ in sorted(awkward, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+
+
+def test_token_ids_over_many_files_and_none(documents):
+    docs = documents([(i, f"text number {i} " * (i % 7), "en", "a") for i in range(300)])
+    manifest, _ = write_token_files(docs, PATH, 2, file_ids=200)
+    assert manifest.count() > 4
+    rows = sorted(map(tuple, read_token_files(manifest).collect()))
+    assert [r[0] for r in rows] == list(range(300))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:], strict=False))
+    assert token_ids(documents([]), PATH).count() == 0
+
+
+def brute_bins(lengths, capacity):
+    """Fewest bins by search."""
+    best = [len(lengths)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(room)
+            return
+        for i in range(len(room)):
+            if room[i] >= lengths[k]:
+                room[i] -= lengths[k]
+                place(k + 1, room)
+                room[i] += lengths[k]
+        place(k + 1, [*room, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_bounds_hold(lengths):
+    lengths = sorted(lengths, reverse=True)
+    bins, offsets, n = packing.best_fit_decreasing(np.array(lengths), 20)
+    assert packing.lower_bound(np.array(lengths), 20) <= brute_bins(lengths, 20) <= n
+    for b in range(n):
+        own = sorted((o, x) for o, x, c in zip(offsets.tolist(), lengths, bins.tolist(), strict=True) if c == b)
+        assert own[0][0] == 0 and all(a[0] + a[1] == c[0] for a, c in zip(own, own[1:], strict=False)) and own[-1][0] + own[-1][1] <= 20
+
+
+def test_bound_beats_volume():
+    assert packing.lower_bound(np.array([11] * 6), 20) == 6
+    assert packing.lower_bound(np.array([7] * 6), 20) == 3
+    assert packing.lower_bound(np.zeros(0, dtype=np.int64), 20) == 0
+
+
+def check_packed(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= capacity
+    return len(by)
+
+
+def test_gaps_are_exchanged(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, 0, rng.choice([6, 7, 13, 14]), i) for i in range(400)]
+    pieces = spark.createDataFrame(rows, packing.PIECE)
+    apart = check_packed(packing.pack_pieces(pieces, 20, group_rows=20, turns=1).collect(), 20)
+    packed = packing.pack_pieces(pieces, 20, group_rows=20, turns=3).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(400))
+    assert packing.lower_bound(np.array([r[3] for r in rows]), 20) <= check_packed(packed, 20) <= apart
+
+
+def test_awkward_rows_pack(documents, awkward, plain):
+    rows = packing.pack_documents(documents(awkward, extra=True), PATH, capacity=64, group_rows=100).collect()
+    check_packed(rows, 64)
+    expected = []
+    for i, text, *_ in awkward:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for k, n in enumerate(packing.cut_lengths(len(ids), 64)):
+            expected.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes())))
+            at += n
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=str) == sorted(expected, key=str)
+    assert packing.pack_documents(documents([]), PATH).count() == 0
+
+
+def test_sequences_hold_their_pieces(documents, plain):
+    docs = documents([(i, f"some words {i} " * (i + 1), "en", "a") for i in range(20)])
+    packed = packing.pack_documents(docs, PATH, capacity=64)
+    made = {r["sequence_id"]: r["ids"] for r in packing.build_sequences(docs, packed, PATH, capacity=64).collect()}
+    for r in packed.collect():
+        own = [*plain.encode(f"some words {r['doc_id']} " * (r["doc_id"] + 1), add_special_tokens=False).ids, 0]
+        assert made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == own[r["start"] : r["start"] + r["length"]]
