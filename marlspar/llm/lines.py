@@ -51,12 +51,12 @@ def drop_boilerplate(docs: DataFrame, found: DataFrame) -> DataFrame:
     lines = line_rows(docs).join(found, ["h1", "h2"])
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))
     cut = lines.filter(~here).groupBy(F.col("doc_id").alias("cut_doc"), F.col("text_key").alias("cut_key")).agg(F.collect_set("pos").alias("cut_lines"))
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.xxhash64(text) == F.col("cut_key")), "left")
-    parts = F.split(text, "\n", -1)
-    kept = F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("cut_lines", i)), "\n"))
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    return joined.select(*rest, kept.alias("text"), F.size(parts).alias("n_lines"), F.coalesce(F.size("cut_lines"), F.lit(0)).alias("n_removed")).select(*docs.columns, "n_lines", "n_removed")
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_doc"]) & (F.xxhash64(text) == cut["cut_key"]), "left")
+    parts, gone = F.split(text, "\n", -1), cut["cut_lines"]
+    kept = F.when(gone.isNull(), docs["text"]).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    own = [kept.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*own, F.size(parts).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
