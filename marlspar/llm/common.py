@@ -37,15 +37,14 @@ def delete_path(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of all texts, by one aggregation; plan estimates are no bound where a table isn't read straight from files."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
 
 
-def partitions_for(df: DataFrame, bytes_each: int, most: int = 200_000) -> int:
-    """Partition count that keeps about ``bytes_each`` (as estimated) in a partition, never below the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, -(-min(plan_bytes(df), 1 << 60) // bytes_each)))
+def partitions_for(docs: DataFrame, bytes_each: int) -> int:
+    """Partition count that keeps about ``bytes_each`` of text in a partition, never below the session's."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // bytes_each))
 
 
 def read_sf(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plan_bytes
+from .common import text_bytes
 from .suffixes import common_prefixes_reach, suffix_array
 
 LENGTH, GRAM, MOST = 50, 16, 64  # bytes of a string, of an anchor's string, windows of a segment
@@ -232,17 +232,17 @@ def cut_ranges(doc_ids: list[int], texts: list[bytes], ranges: list[tuple[bytes,
         yield len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), kept
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 2 << 20, hot_blocks: int = 4096, blocks: int | None = None, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot_blocks: int = 4096, blocks: int | None = None, with_kept: bool = False) -> DataFrame:
     """Cut every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) on demand. Null text counts as empty; a null
     doc_id is larger than any other; rows that share a doc_id never cut one another, and each is cut by what smaller ones
     hold (ranges found in one row apply at the same places of another only where their texts are equal, so keys must be unique
-    for differing texts). An empty table gives none. ``block_bytes`` (of the plan's estimate) bounds a task's memory.
+    for differing texts). An empty table gives none. ``block_bytes`` of text make a block and bound a task's memory.
     """
     import pyarrow as pa
 
-    n = blocks or max(1, -(-min(plan_bytes(docs.select("doc_id", "text")), 1 << 50) // block_bytes))
+    n = blocks or max(1, -(-text_bytes(docs) // block_bytes))
     buckets = max(1, min(1 << 22, n // 4))
     number = F.col("doc_id").cast("long")
     dealt = docs.select(number.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(number), F.lit(n)).alias("block")).repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")

@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, file_id
             yield flush()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = source.repartitionByRange(partitions_for(docs, 8 << 20), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange(partitions_for(docs, 14 << 20), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(run, "shard int, part int, path string, n_docs long, n_ids long, n_bytes long")
     return write_table(manifest, "token-manifest")[0], folder
 
