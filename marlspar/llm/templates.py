@@ -46,12 +46,12 @@ def _windows(df: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, ipos, h, raw (the window's words as they stand), n_windows of each telling window: one with three words at least that aren't placeholders, or all of a shorter item's."""
+    """item_id, ipos, h, raw (the window's words as they stand), n_windows of each telling window: one with two words at least that aren't placeholders, or all of a shorter item's."""
     source = items.filter(F.col("item_id").isNotNull()).select("item_id", _words(template(F.col("text"))).alias("words"), _words(_plain(F.col("text"))).alias("raw"))
     placed = _windows(source, "item_id", "ipos").join(source, "item_id")
     own = F.slice("words", F.col("ipos") + 1, WINDOW)
     real = F.size(F.filter(own, lambda w: ~w.startswith("ǁ")))
-    kept = placed.filter(real >= F.least(F.lit(3), F.size(own))).select("item_id", "ipos", "h", F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")).distinct()
+    kept = placed.filter(real >= F.least(F.lit(2), F.size(own))).select("item_id", "ipos", "h", F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")).distinct()
     count = kept.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     return kept.join(count, "item_id")
 
