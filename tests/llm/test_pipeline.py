@@ -13,7 +13,7 @@ def build(documents):
         return " ".join(rng.choices(words[lang], k=n))
 
     rows = [(i, text(lang := rng.choice(["en", "fr"])), lang, f"s{i % 7}") for i in range(150)]
-    rows += [(200 + i, rows[i][1], rows[i][2], "s1") for i in range(5)]  # copies
+    rows += [(200 + i, rows[100 + i][1], rows[100 + i][2], "s1") for i in range(5)]  # copies
     item = text("en", 30)
     rows += [(300, text("en", 20) + " . " + item + " . " + text("en", 20), "en", "s2"), (301, None, "en", "s2"), (302, "123 456 !!", "en", "s2")]
     rows = [(i, t and t + ("\nthe same footer stands here" if i < 60 else ""), lang, s) for i, t, lang, s in rows]
@@ -39,7 +39,7 @@ def test_stages(spark, documents, tmp_path):
     assert cleaned.filter(F.col("n_chars") != F.length("text")).count() == 0
     apart = stages["simhash_near_dedup"](spark, docs, folder)
     gone = {r[0] for r in docs.select("doc_id").subtract(apart.select("doc_id")).collect()}
-    assert apart.columns == docs.columns and {200, 201, 202, 203, 204} <= gone | {0, 1, 2, 3, 4} and len(gone) <= 6
+    assert apart.columns == docs.columns and {200, 201, 202, 203, 204} <= gone and len(gone) <= 6
     clear = stages["decontamination"](spark, docs, folder)
     assert {r[0] for r in docs.select("doc_id").subtract(clear.select("doc_id")).collect()} == {300}
     packed = corpus_pipeline.run(spark, folder).collect()
