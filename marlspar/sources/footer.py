@@ -7,6 +7,7 @@ of many files are read where the executors are, a row for each file, row group o
 from __future__ import annotations
 
 import json
+import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -217,6 +218,14 @@ def _buffer(b) -> bytes:
     return bytes(view.get() & 0xFF for _ in range(view.remaining()))
 
 
+def _plain_bytes(value, physical: str) -> bytes | None:
+    """A value as the format's plain encoding, which bloom filters hash; None for types that have no one encoding of it."""
+    if physical in ("BINARY", "FIXED_LEN_BYTE_ARRAY"):
+        return value.encode() if isinstance(value, str) else bytes(value)
+    form = {"INT32": "<i", "INT64": "<q", "FLOAT": "<f", "DOUBLE": "<d"}.get(physical)
+    return form and struct.pack(form, value)
+
+
 def bloom_might_contain(spark: SparkSession, path: str, column: str, value) -> list[bool | None]:
     """For each row group, whether its bloom filter may hold ``value``; None where the chunk has no filter, or none that is supported."""
     footer = read_footer(spark, path)
@@ -231,19 +240,11 @@ def bloom_might_contain(spark: SparkSession, path: str, column: str, value) -> l
             if bloom is None:
                 out.append(None)
                 continue
-            kind = chunk.getPrimitiveType().getPrimitiveTypeName().toString()
-            if kind in ("BINARY", "FIXED_LEN_BYTE_ARRAY"):
-                data = value.encode() if isinstance(value, str) else bytes(value)
-                hashed = bloom.hash(jvm.org.apache.parquet.io.api.Binary.fromConstantByteArray(data))
-            elif kind == "INT32":
-                hashed = bloom.hash(jvm.java.lang.Integer(int(value)).intValue())
-            elif kind == "INT64":
-                hashed = bloom.hash(jvm.java.lang.Long(int(value)))
-            elif kind == "DOUBLE":
-                hashed = bloom.hash(float(value))
-            else:
+            data = _plain_bytes(value, chunk.getPrimitiveType().getPrimitiveTypeName().toString())
+            if data is None:
                 out.append(None)
                 continue
+            hashed = jvm.org.apache.parquet.column.values.bloomfilter.XxHash().hashBytes(bytearray(data))
             out.append(bool(bloom.findHash(hashed)))
     finally:
         reader.close()

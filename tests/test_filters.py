@@ -1,0 +1,246 @@
+"""The filter compiler against an independent evaluator of the value rules, with and without Parquet pushdown."""
+
+import itertools
+import math
+import warnings
+from datetime import date, datetime, timezone
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import types as T
+
+from marlspar import ColumnNotFound, QueryError, compile_filter, filter_columns, filter_paths, read
+
+UNDEFINED = object()
+NAN = float("nan")
+
+
+def number(v):
+    if v is None:
+        return 0.0
+    if isinstance(v, bool):
+        return float(v)
+    if isinstance(v, (int, float)):
+        return float(v)
+    if isinstance(v, date):
+        when = v if isinstance(v, datetime) else datetime(v.year, v.month, v.day)
+        return (when.replace(tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds() * 1000
+    if isinstance(v, str):
+        try:
+            return float(v.strip() or 0)
+        except ValueError:
+            return NAN
+    return NAN
+
+
+def relational(v, op, k):
+    if v is UNDEFINED or isinstance(v, (list, dict)) or isinstance(k, (list, dict)):
+        return False
+    a, b = (v, k) if isinstance(v, str) and isinstance(k, str) else (number(v), number(k))
+    return {"$gt": lambda: a > b, "$gte": lambda: a >= b, "$lt": lambda: a < b, "$lte": lambda: a <= b}[op]()
+
+
+def same(v, k, strict):
+    if k is None:
+        return v is None or v is UNDEFINED and not strict
+    if v is None or v is UNDEFINED:
+        return False
+    if isinstance(v, dict) and isinstance(k, dict):
+        return v.keys() == k.keys() and all(same(x, k[n], strict) for n, x in v.items())
+    if isinstance(v, list) and isinstance(k, list):
+        return len(v) == len(k) and all(same(x, y, strict) for x, y in zip(v, k, strict=True))
+    if isinstance(v, (dict, list)) or isinstance(k, (dict, list)):
+        return False
+    plain = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    if isinstance(v, date) or isinstance(k, date):
+        return isinstance(v, date) and isinstance(k, date) and number(v) == number(k)
+    if plain(v) and plain(k) or type(v) is type(k):
+        return v == k
+    return not strict and number(v) == number(k)
+
+
+def field(v, cond, strict):
+    if not isinstance(cond, dict):
+        return same(v, cond, strict)
+
+    def one(op, k):
+        if op in ("$gt", "$gte", "$lt", "$lte"):
+            return relational(v, op, k)
+        if op == "$eq":
+            return same(v, k, strict)
+        if op == "$ne":
+            return not same(v, k, strict)
+        if op in ("$in", "$nin"):
+            if not isinstance(k, list):
+                return False
+            hit = any(same(v, t, strict) or isinstance(v, list) and any(same(x, t, strict) for x in v) for t in k)
+            return hit == (op == "$in")
+        return not field(v, k, strict)
+
+    return all(one(op, k) for op, k in cond.items())
+
+
+def lookup(row, path):
+    v = row
+    for name in path.split("."):
+        if not isinstance(v, dict):
+            return UNDEFINED
+        v = v.get(name, UNDEFINED)
+    return v
+
+
+def match(row, q, strict=True):
+    if "$and" in q:
+        return all(match(row, x, strict) for x in q["$and"])
+    if "$or" in q:
+        return any(match(row, x, strict) for x in q["$or"])
+    if "$nor" in q:
+        return not any(match(row, x, strict) for x in q["$nor"])
+    return all(field(lookup(row, p), c, strict) for p, c in q.items())
+
+
+INNER = T.StructType().add("k", "integer")
+SCHEMA = T.StructType()
+for _name, _kind in (("id", "integer"), ("n", "integer"), ("x", "double"), ("s", "string"), ("b", "boolean"), ("d", "date"), ("t", "timestamp_ntz"), ("a", T.ArrayType(T.IntegerType())), ("p", T.StructType().add("name", "string").add("in", INNER))):
+    SCHEMA = SCHEMA.add(_name, _kind)
+ROWS = [
+    (0, None, None, None, None, None, None, None, None),
+    (1, 5, 5.0, "5", True, date(2020, 1, 1), datetime(2020, 1, 1, 12), [1, 5], ("Ada", (5,))),
+    (2, -1, NAN, "", False, date(1960, 1, 1), datetime(1960, 1, 1), [], (None, (None,))),
+    (3, 0, -0.5, "abc", True, date(1970, 1, 1), datetime(1970, 1, 1), [None, 2], ("Bo", None)),
+    (4, 7, 1e300, "10", None, None, datetime(2020, 1, 1, 12, 0, 0, 1), [5], (None, (0,))),
+    (5, 2**31 - 1, 0.0, " 7 ", False, date(2020, 1, 2), None, [1, 5, 9], ("é", (7,))),
+]
+
+
+def plain(row):
+    out = dict(zip(SCHEMA.names, row, strict=True))
+    for n in ("a", "p"):
+        if out[n] is None:
+            out[n] = UNDEFINED
+    if out["p"] is not UNDEFINED:
+        name, inner = out["p"]
+        out["p"] = {"name": name, "in": UNDEFINED if inner is None else {"k": inner[0]}}
+    return out
+
+
+LITERALS = {
+    "n": [None, 5, 0, -1, 5.0, 4.5, NAN, "5", "x", True, 10**30],
+    "x": [None, 5, 0, -0.5, NAN, "5", 1e300, True],
+    "s": [None, "5", "abc", "", "b", 5, 0, NAN, True, "9"],
+    "b": [None, True, False, 1, 0, "1"],
+    "d": [None, date(2020, 1, 1), date(1965, 1, 1), datetime(2020, 1, 1), 0],
+    "t": [None, datetime(2020, 1, 1, 12), datetime(1965, 1, 1), date(2020, 1, 1), 0],
+    "a": [None, 5, [1, 5], [], [None, 2], "5"],
+    "p": [None, {"name": "Ada", "in": {"k": 5}}, {"name": None}, 5],
+    "p.name": [None, "Ada", "é", 5],
+    "p.in.k": [None, 5, 0, 7.0],
+    "p.absent": [None, 5],
+    "n.deep": [None, 5],
+}
+
+
+def queries():
+    for path, values in LITERALS.items():
+        for v in values:
+            yield {path: v} if not isinstance(v, dict) else {path: {"$eq": v}}
+            for op in ("$gt", "$gte", "$lt", "$lte", "$eq", "$ne"):
+                yield {path: {op: v}}
+                yield {path: {"$not": {op: v}}}
+        for pair in itertools.combinations(values[:5], 2):
+            yield {path: {"$in": list(pair)}}
+            yield {path: {"$nin": list(pair)}}
+        yield {path: {"$in": []}}
+        yield {path: {"$nin": []}}
+        yield {path: {"$in": values[0]}}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("filters"))
+    spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.parquet(f"{path}/all")
+    spark.createDataFrame([(i, x) for i, x in enumerate([5.0, 5.0, NAN])], "id int, x double").coalesce(1).write.parquet(f"{path}/nan")
+    return path
+
+
+def ids(df, batch):
+    """Ids that each of many filters keeps, in one job."""
+    from pyspark.sql import functions as F
+
+    row = df.agg(*[F.array_sort(F.collect_list(F.when(c, F.col("id")))).alias(str(i)) for i, c in enumerate(batch)]).first()
+    return [list(x) for x in row]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_truth_table(spark, folder, strict):
+    df = spark.read.parquet(f"{folder}/all").cache()
+    every = list(queries())
+    for at in range(0, len(every), 60):
+        part = every[at : at + 60]
+        got = ids(df, [compile_filter(q, df.schema, strict) for q in part])
+        for q, have in zip(part, got, strict=True):
+            assert have == [r[0] for r in ROWS if match(plain(r), q, strict)], (q, strict)
+    df.unpersist()
+
+
+LOGIC = [
+    {"$and": [{"n": {"$gte": 0}}, {"s": {"$ne": "abc"}}]},
+    {"$or": [{"n": {"$lt": 0}}, {"p.name": "Ada"}]},
+    {"$nor": [{"n": {"$lt": 0}}, {"x": {"$eq": 5}}]},
+    {"$and": []},
+    {"$or": []},
+    {"$nor": []},
+    {"n": {"$gt": -5, "$lt": 6}, "b": {"$ne": True}},
+    {"$or": [{"$and": [{"n": 5}, {"x": 5}]}, {"$nor": [{"n": {"$not": {"$gt": 0}}}]}]},
+    {"n": {}},
+]
+
+
+def test_logic(spark, folder):
+    df = spark.read.parquet(f"{folder}/all")
+    for q, have in zip(LOGIC, ids(df, [compile_filter(q, df.schema) for q in LOGIC]), strict=True):
+        assert have == [r[0] for r in ROWS if match(plain(r), q)], q
+
+
+@pytest.mark.parametrize("push", ["true", "false"])
+def test_nan_rows_survive_pushdown(spark, folder, push):
+    spark.conf.set("spark.sql.parquet.filterPushdown", push)
+    try:
+        for q, want in (({"x": {"$ne": 5}}, [2]), ({"x": {"$nin": [5]}}, [2]), ({"x": {"$not": {"$eq": 5}}}, [2]), ({"$nor": [{"x": {"$eq": 5}}]}, [2]), ({"x": {"$not": {"$gt": 1}}}, [2]), ({"x": {"$gt": 100}}, []), ({"x": {"$eq": NAN}}, []), ({"x": {"$not": {"$in": [5, 6]}}}, [2]), ({"x": 5}, [0, 1])):
+            assert sorted(r["id"] for r in read(spark, f"{folder}/nan", filter=q).collect()) == want, q
+        for q in ({"n": {"$gt": 0}}, {"n": {"$lt": 1}}, {"s": {"$in": ["5", "abc"]}}, {"p.in.k": {"$gte": 0}}, {"n": {"$ne": 5}}, {"t": {"$lt": datetime(2000, 1, 1)}}):
+            assert sorted(r["id"] for r in read(spark, f"{folder}/all", filter=q).collect()) == [r[0] for r in ROWS if match(plain(r), q)], q
+    finally:
+        spark.conf.unset("spark.sql.parquet.filterPushdown")
+
+
+def test_filters_reach_the_scan(spark, folder):
+    plan = read(spark, f"{folder}/all", filter={"n": {"$gt": 3}, "s": {"$eq": "5"}}, columns=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n,3)" in plan and "EqualTo(s,5)" in plan and "x:double" not in plan
+
+
+def test_sql_nulls(spark, folder):
+    df = spark.read.parquet(f"{folder}/all")
+    assert ids(df, [compile_filter({"n": {"$lt": 1}}, df.schema, sql_nulls=True)]) == [[2, 3]]
+
+
+def test_errors_and_paths(spark, folder):
+    df = spark.read.parquet(f"{folder}/all")
+    with pytest.raises(ColumnNotFound, match="parquet filter columns not found: nope"):
+        compile_filter({"nope.x": 1}, df.schema)
+    with pytest.raises(QueryError):
+        compile_filter({"n": {"$regex": "x"}}, df.schema)
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        compile_filter({"$and": [{"n": 5}], "s": "x"}, df.schema)
+    assert len(seen) == 1
+    assert compile_filter({}, df.schema) is None and compile_filter(None, df.schema) is None
+    q = {"$or": [{"a.b": 1}, {"$and": [{"c": {"$gt": 1}}, {"a.d": 2}, {"a.b": 3}]}]}
+    assert filter_paths(q) == ["a.b", "c", "a.d"] and filter_columns(q) == ["a", "c"]
+
+
+def test_decimals_and_maps(spark):
+    df = spark.createDataFrame([(0, Decimal("1.50"), {"a": 1}), (1, None, None), (2, Decimal("-2.00"), {"a": 1, "b": 2})], "id int, m decimal(6,2), k map<string,int>")
+    tests = [({"m": {"$gt": 1}}, [0]), ({"m": {"$lte": 0}}, [1, 2]), ({"m": 1.5}, [0]), ({"k": {"$eq": {"b": 2, "a": 1}}}, [2]), ({"k": {"$ne": {"a": 1}}}, [1, 2]), ({"k": {"$eq": None}}, [])]
+    assert ids(df, [compile_filter(q, df.schema) for q, _ in tests]) == [want for _, want in tests]
+    assert math.isnan(NAN)
