@@ -7,7 +7,7 @@ _WHERE = {
     name: module
     for module, names in {
         "errors": "ColumnNotFound FormatError QueryError",
-        "functions.values": "equals flatten to_json",
+        "functions.values": "equals flatten snappy_uncompress to_json",
         "operators.filters": "compile_filter filter_columns filter_paths",
         "operators.query": "cached count_rows query read read_column read_objects read_rows",
         "plans.rowgroups": "plan_groups",

@@ -56,3 +56,10 @@ def equals(a, b, strict: bool = True) -> bool:
 def flatten(chunks) -> list:
     """Chunks of a column as one list."""
     return list(chain.from_iterable(chunks or []))
+
+
+def snappy_uncompress(data: bytes, size: int) -> bytes:
+    """A raw snappy block of known decompressed size."""
+    import pyarrow as pa
+
+    return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import decode
 from ..functions.geo import geo_columns, geojson
+from .arrow import arrow_frame, needs_arrow
 from .footer import Footer, list_files, read_footer
 from .ranges import ByteSource
 
@@ -65,6 +66,7 @@ class ParquetTable:
         self.files = list_files(spark, source)
         self.footer: Footer = read_footer(spark, self.files[0][0])
         self.leaves = decode.leaves(self.footer.schema)
+        self.by_arrow = needs_arrow(self.footer)
         self.geo = geo_columns(self.footer.key_values) if self.options.geoparquet else {}
 
     @property
@@ -100,6 +102,10 @@ class ParquetTable:
 
     def frame(self, positions: bool = False) -> DataFrame:
         """All columns decoded; with ``positions`` also each row's place over all files in path order."""
+        if self.by_arrow:
+            footers = [self.footer, *(read_footer(self.spark, f[0]) for f in self.files[1:])]
+            raw = arrow_frame(self.spark, footers, self.leaves, POSITION)
+            return raw.select(*[self._decoded(x).alias(x.name) for x in self.leaves], *[POSITION] * positions)
         reader = self.spark.read.option("parquet.filter.bloom.enabled", self.options.bloom_filters).option("parquet.filter.columnindex.enabled", self.options.page_index)
         if decode.needs_schema(self.leaves):
             reader = reader.schema(decode.read_schema(self.leaves))

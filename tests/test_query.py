@@ -209,6 +209,24 @@ def test_types_that_spark_refuses(spark, tmp_path):
     assert m.read(spark, p, parsers={"uuid": lambda c: c.substr(1, 1)}).first()["u"] == b"\x00"
 
 
+@pytest.mark.parametrize("options", [{"compression": "brotli"}, {"use_byte_stream_split": ["x", "h"], "use_dictionary": False}])
+def test_files_that_spark_cannot_read(spark, tmp_path, options):
+    p = str(tmp_path / "odd.parquet")
+    halves = np.array([1.0, -2.0, 0.5], dtype=np.float16)
+    pq.write_table(pa.table({"x": [1.5, None, -3.0], "h": pa.array(halves), "s": ["a", None, "c"], "t": pa.array([1, 2, 3], pa.timestamp("us", "UTC")), "p": [{"q": [1, 2]}, None, {"q": None}]}), p, row_group_size=2, **options)
+    assert [(r["x"], r["h"], r["s"], r["p"] and r["p"]["q"]) for r in m.read(spark, p).collect()] == [(1.5, 1.0, "a", [1, 2]), (None, -2.0, None, None), (-3.0, 0.5, "c", None)]
+    assert [r["s"] for r in m.query(spark, p, filter={"x": {"$lt": 1}}, row_start=1).collect()] == ["c"]
+    assert [r["__index__"] for r in m.query(spark, p, order_by="x").collect()] == [2, 1, 0]
+
+
+@pytest.mark.parametrize("codec", ["none", "snappy", "gzip", "lz4", "zstd"])
+def test_codecs(spark, tmp_path, codec):
+    p = str(tmp_path / "c.parquet")
+    pq.write_table(TABLE, p, compression=codec)
+    assert b_of(m.read(spark, p)) == [1, 2, 3, 4, 5]
+    assert m.snappy_uncompress(pa.compress(b"abc" * 50, codec="snappy", asbytes=True), 150) == b"abc" * 50
+
+
 def point(x, y):
     return b"\x01\x01\x00\x00\x00" + np.array([x, y], dtype="<f8").tobytes()
 
