@@ -243,7 +243,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot_blocks: in
     import pyarrow as pa
 
     n = blocks or max(1, -(-text_bytes(docs) // block_bytes))
-    buckets = max(1, min(1 << 22, n // 4))
+    buckets = max(1, min(1 << 22, n // 2))
+    tasks = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # buckets take more time than their bytes tell
     number = F.col("doc_id").cast("long")
     dealt = docs.select(number.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(number), F.lit(n)).alias("block")).repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
 
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot_blocks: in
         return table(rows, result, [int64, int64, int64, int64, pa.string(), data][: len(result)])
 
     listed = dealt.groupBy("block").applyInArrow(anchors, "bucket long, block long, keys binary, in_two binary")
-    both = listed.groupBy("bucket").applyInArrow(shared, "block long, bucket long, keys binary, hot_keys binary")
+    both = listed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(shared, "block long, bucket long, keys binary, hot_keys binary")
     sent = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(segments, "bucket long, block long, segments binary, lengths binary, which binary, docs binary, starts binary")
-    gone = sent.groupBy("bucket").applyInArrow(ranges, "block long, docs binary, low binary, high binary")
+    gone = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(ranges, "block long, docs binary, low binary, high binary")
     return dealt.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)

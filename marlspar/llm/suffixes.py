@@ -68,9 +68,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         queue, k = induced[c], 0
         waves: list[np.ndarray] = []
         while k < len(queue) or waves is not None:
-            if k < len(queue):
-                part = queue[k]
-                k += 1
+            if k < len(queue):  # all that has been put here so far, in its order
+                part, k = np.concatenate(queue[k:]), len(queue)
             else:  # larger suffixes come first in a bucket, then the directly sorted ones
                 part, waves = direct[direct_ends[c] : direct_ends[c + 1]], None
             out[done : done + len(part)] = part
