@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def list_segments(block_id: int, block: Block, buckets: int, shared: list[tuple[
         starts.append(start)
     for b, (known, which, docs, starts) in by_bucket.items():
         docs = np.array(docs)
-        yield b, block_id, b"".join(known), np.fromiter(map(len, known), dtype="<i4", count=len(known)).tobytes(), np.array(which, dtype="<i4").tobytes(), block.doc_ids[docs].astype("<i8").tobytes(), (np.array(starts) - block.at[docs]).astype("<i8").tobytes()
+        yield b, block_id, zstandard.compress(b"".join(known)), np.fromiter(map(len, known), dtype="<i4", count=len(known)).tobytes(), np.array(which, dtype="<i4").tobytes(), block.doc_ids[docs].astype("<i8").tobytes(), (np.array(starts) - block.at[docs]).astype("<i8").tobytes()
 
 
 def repeated_ranges(blocks: list[int], texts: list[bytes], lengths: list[bytes], which: list[bytes], docs: list[bytes], starts: list[bytes]):
@@ -176,7 +177,7 @@ def repeated_ranges(blocks: list[int], texts: list[bytes], lengths: list[bytes],
     known: dict[bytes, int] = {}
     at_block, segment, doc, start = [], [], [], []
     for block, text, length, own, d, s in zip(blocks, texts, lengths, which, docs, starts, strict=True):
-        ends = np.cumsum(np.frombuffer(length, dtype="<i4")).tolist()
+        text, ends = zstandard.decompress(text), np.cumsum(np.frombuffer(length, dtype="<i4")).tolist()
         numbers = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)], dtype=np.int64)
         own = np.frombuffer(own, dtype="<i4")
         segment.append(numbers[own])
