@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders; five-word windows of what is left are hash-joined between benchmark and
 documents. Matched windows are then aligned, and the slots behind the placeholders must be filled consistently: equal slots
-of the item by equal values of the document. So verbatim copies and re-parameterised ones are found, and chance meetings of
-a template are not.
+of the item by equal values of the document. So re-parameterised copies are found, and chance meetings of a template are not.
+A window is also matched by its plain lower-cased words, so that verbatim copies don't depend on the template.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def _plain(text):
 
 
 def template(text):
-    """Canonical text: names are capitalised words after a lower-case letter or a comma, units follow numbers."""
-    named = F.regexp_replace(_plain(text), r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*", NAME)
+    """Canonical text: names are capitalised words, wherever they stand; units follow numbers."""
+    named = F.regexp_replace(_plain(text), r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*", NAME)
     numbered = F.regexp_replace(named, r"\p{N}+", NUMBER)
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
     return F.lower(F.regexp_replace(numbered, rf"(?<={NUMBER})( ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
@@ -37,22 +37,36 @@ def _words(text):
     return F.array_remove(F.split(text, SEPARATOR, -1), "")
 
 
+def _hashes(w: str):
+    """Hashes of the windows of a column of word hashes; shorter arrays are one window."""
+    last = F.greatest(F.size(w) - WINDOW, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+
+
+def _both(df: DataFrame, key: str) -> DataFrame:
+    """key, the template's ``words`` and the words as they stand, ``raw``, of every text that has words."""
+    return df.select(key, _words(template(F.col("text"))).alias("words"), _words(_plain(F.col("text"))).alias("raw")).filter(F.size("words") > 0)
+
+
 def _windows(df: DataFrame, key: str, at: str) -> DataFrame:
-    """key, position and hash of each template window. Needs the column ``words``."""
-    hashed = df.filter(F.size("words") > 0).select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    last = F.greatest(F.size("w") - WINDOW, F.lit(0))
-    whole = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))
-    return hashed.select(key, F.posexplode(whole).alias(at, "h"))
+    """key, position and hash of each window, by template (``h``) and by plain words (``plain``). Needs ``words`` and ``raw``."""
+    hashed = df.select(key, F.transform("words", lambda x: F.xxhash64(x)).alias("w"), F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("v"))
+    pairs = F.arrays_zip(_hashes("w").alias("h"), _hashes("v").alias("plain"))
+    return hashed.select(key, F.posexplode(pairs).alias(at, "pair")).select(key, at, "pair.h", "pair.plain")
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, ipos, h, raw (the window's words as they stand), n_windows of each telling window: one with two words at least that aren't placeholders, or all of a shorter item's."""
-    source = items.filter(F.col("item_id").isNotNull()).select("item_id", _words(template(F.col("text"))).alias("words"), _words(_plain(F.col("text"))).alias("raw"))
+    """item_id, ipos, window, h, item_words (as they stand), slots, n_windows of each telling window: one with two words at least that aren't placeholders, or all of a shorter item's.
+
+    ``window`` is the hash by template and names the window; ``h`` is that hash or the one by plain words.
+    """
+    source = _both(items.filter(F.col("item_id").isNotNull()), "item_id")
     placed = _windows(source, "item_id", "ipos").join(source, "item_id")
     own = F.slice("words", F.col("ipos") + 1, WINDOW)
     real = F.size(F.filter(own, lambda w: ~w.startswith("ǁ")))
-    kept = placed.filter(real >= F.least(F.lit(2), F.size(own))).select("item_id", "ipos", "h", F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")).distinct()
-    count = kept.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    line = ["item_id", "ipos", F.col("h").alias("window"), F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")]
+    kept = placed.filter(real >= F.least(F.lit(2), F.size(own))).select(*line, F.explode(F.array("h", "plain")).alias("h")).distinct()
+    count = kept.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
     return kept.join(count, "item_id")
 
 
@@ -68,17 +82,18 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, bro
     keys = wanted.select("h").distinct()
     if keys.count() <= broadcast_rows:
         keys = F.broadcast(keys)
-    words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", _words(template(F.col("text"))).alias("words"))
-    found, _ = write_table(_windows(words, "doc_id", "dpos").join(keys, "h", "left_semi"), "window-hits")
+    placed = _windows(_both(docs.filter(F.col("doc_id").isNotNull()), "doc_id"), "doc_id", "dpos")
+    either = placed.select("doc_id", "dpos", F.explode(F.array_distinct(F.array("h", "plain"))).alias("h"))
+    found, _ = write_table(either.join(keys, "h", "left_semi"), "window-hits")
     hits = found.join(wanted, "h")
-    close = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n"), F.first("n_windows").alias("n_windows")).filter(F.col("n") >= F.ceil(F.lit(similarity) * F.col("n_windows"))).select("doc_id", "item_id")
+    close = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n"), F.first("n_windows").alias("n_windows")).filter(F.col("n") >= F.ceil(F.lit(similarity) * F.col("n_windows"))).select("doc_id", "item_id")
     aligned = hits.join(close, ["doc_id", "item_id"])
     texts = docs.join(close.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words(_plain(F.col("text"))).alias("doc_words"))
     both = aligned.join(texts, "doc_id").withColumn("doc_words", F.slice("doc_words", F.col("dpos") + 1, WINDOW))
-    line = ["doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "h", "n_windows"]
+    line = ["doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "window", "n_windows"]
     pairs = F.filter(F.arrays_zip("slots", "item_words", "doc_words"), lambda x: x["slots"])
     slots = both.select(*line, F.transform(pairs, lambda x: F.struct(F.lower(x["item_words"]).alias("of"), F.lower(x["doc_words"]).alias("by"))).alias("filled"))
-    across = slots.groupBy("doc_id", "item_id", "diagonal", "n_windows").agg(F.collect_set("h").alias("windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    across = slots.groupBy("doc_id", "item_id", "diagonal", "n_windows").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     consistent = across.filter(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["of"]))))
     changed = F.size(F.filter("filled", lambda x: x["of"] != x["by"]))
     result = consistent.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("n_matched"), F.max(F.size("filled")).alias("n_slots"), F.max(changed).alias("n_changed"))
