@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders; five-word windows of what is left are hash-joined between benchmark and
 documents. Matched windows are then aligned, and the slots behind the placeholders must be filled consistently: equal slots
 of the item by equal values of the document. So re-parameterised copies are found, and chance meetings of a template are not.
-A window is also matched by its plain lower-cased words, so that verbatim copies don't depend on the template.
+A window is also matched by its plain lower-cased words, so that verbatim copies don't depend on the template. Windows poor
+in words are matched by their plain words alone, and items shorter than a window by windows of their own length.
 """
 
 from __future__ import annotations
@@ -55,46 +56,70 @@ def _windows(df: DataFrame, key: str, at: str) -> DataFrame:
     return hashed.select(key, F.posexplode(pairs).alias(at, "pair")).select(key, at, "pair.h", "pair.plain")
 
 
+def _short_windows(df: DataFrame, key: str, at: str, size: int) -> DataFrame:
+    """key, position and hash by plain words of each window of ``size`` words in longer texts. Needs ``raw``."""
+    hashed = df.filter(F.size("raw") > size).select(key, F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("v"))
+    own = F.transform(F.sequence(F.lit(0), F.size("v") - size), lambda i: F.xxhash64(*[F.get("v", i + k) for k in range(size)]))
+    return hashed.select(key, F.posexplode(own).alias(at, "h"))
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, ipos, window, h, item_words (as they stand), slots, n_windows of each telling window: one with two words at least that aren't placeholders, or all of a shorter item's.
+    """item_id, ipos, window, telling, h, item_words (as they stand), slots, n_telling, n_all of each window.
 
-    ``window`` is the hash by template and names the window; ``h`` is that hash or the one by plain words.
+    A telling window has two words at least that aren't placeholders, or all of a shorter item's; ``window``, its hash by
+    template, names it and ``h`` is that hash or the one by plain words. Other windows have the hash by plain words alone.
+    Items without a letter have none.
     """
-    source = _both(items.filter(F.col("item_id").isNotNull()), "item_id")
+    source = _both(items.filter(F.col("item_id").isNotNull()), "item_id").filter(F.exists("raw", lambda w: w.rlike(r"\p{L}")))
     placed = _windows(source, "item_id", "ipos").join(source, "item_id")
     own = F.slice("words", F.col("ipos") + 1, WINDOW)
     real = F.size(F.filter(own, lambda w: ~w.startswith("ǁ")))
-    line = ["item_id", "ipos", F.col("h").alias("window"), F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")]
-    kept = placed.filter(real >= F.least(F.lit(2), F.size(own))).select(*line, F.explode(F.array("h", "plain")).alias("h")).distinct()
-    count = kept.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    known = placed.withColumn("telling", real >= F.least(F.lit(2), F.size(own)))
+    line = ["item_id", "ipos", "telling", F.when(F.col("telling"), F.col("h")).otherwise(F.col("plain")).alias("window"), F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")]
+    kept = known.select(*line, F.explode(F.when(F.col("telling"), F.array("h", "plain")).otherwise(F.array("plain"))).alias("h")).distinct()
+    count = kept.groupBy("item_id").agg(F.countDistinct(F.when(F.col("telling"), F.col("window"))).alias("n_telling"), F.countDistinct("window").alias("n_all"))
     return kept.join(count, "item_id")
 
 
+def _reach(found, wanted, similarity: float):
+    return (wanted > 0) & (found >= F.ceil(F.lit(similarity) * wanted))
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, n_windows, n_matched, n_slots, n_changed.
 
     n_matched counts the item's distinct windows found on consistently filled alignments, at least ``similarity`` of
-    n_windows; n_changed the slots filled with another value. Benchmark windows are broadcast up to ``broadcast_rows`` (about
-    16 bytes each), else both sides are shuffled by the hash. Null and empty texts match nothing; rows with a null id are
-    left out; rows that repeat a doc_id count as one document, items that repeat an item_id as one item.
+    n_windows: the telling windows where those reach it, else all windows. n_changed counts the slots filled with another
+    value. Benchmark windows are broadcast up to ``broadcast_rows`` (about 16 bytes each), else both sides are shuffled by
+    the hash. Null and empty texts match nothing; rows with a null id are left out; rows that repeat a doc_id count as one
+    document, items that repeat an item_id as one item.
     """
     wanted, _ = write_table(benchmark_windows(items), "benchmark-windows")
     keys = wanted.select("h").distinct()
     if keys.count() <= broadcast_rows:
         keys = F.broadcast(keys)
-    placed = _windows(_both(docs.filter(F.col("doc_id").isNotNull()), "doc_id"), "doc_id", "dpos")
-    either = placed.select("doc_id", "dpos", F.explode(F.array_distinct(F.array("h", "plain"))).alias("h"))
+    words = _both(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
+    either = _windows(words, "doc_id", "dpos").select("doc_id", "dpos", F.explode(F.array_distinct(F.array("h", "plain"))).alias("h"))
+    for size in sorted(r[0] for r in wanted.select(F.size("slots")).distinct().collect()):
+        if size < WINDOW:
+            either = either.unionByName(_short_windows(words, "doc_id", "dpos", size))
     found, _ = write_table(either.join(keys, "h", "left_semi"), "window-hits")
     hits = found.join(wanted, "h")
-    close = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n"), F.first("n_windows").alias("n_windows")).filter(F.col("n") >= F.ceil(F.lit(similarity) * F.col("n_windows"))).select("doc_id", "item_id")
+    told = F.when(F.col("telling"), F.col("window"))
+    sizes = ["n_telling", "n_all"]
+    counted = hits.groupBy("doc_id", "item_id", *sizes).agg(F.countDistinct(told).alias("told"), F.countDistinct("window").alias("n"))
+    close = counted.filter(_reach(F.col("told"), F.col("n_telling"), similarity) | _reach(F.col("n"), F.col("n_all"), similarity)).select("doc_id", "item_id")
     aligned = hits.join(close, ["doc_id", "item_id"])
     texts = docs.join(close.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words(_plain(F.col("text"))).alias("doc_words"))
     both = aligned.join(texts, "doc_id").withColumn("doc_words", F.slice("doc_words", F.col("dpos") + 1, WINDOW))
-    line = ["doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "window", "n_windows"]
+    line = ["doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "window", "telling", *sizes]
     pairs = F.filter(F.arrays_zip("slots", "item_words", "doc_words"), lambda x: x["slots"])
     slots = both.select(*line, F.transform(pairs, lambda x: F.struct(F.lower(x["item_words"]).alias("of"), F.lower(x["doc_words"]).alias("by"))).alias("filled"))
-    across = slots.groupBy("doc_id", "item_id", "diagonal", "n_windows").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    across = slots.groupBy("doc_id", "item_id", "diagonal", *sizes).agg(F.collect_set("window").alias("windows"), F.collect_set(told).alias("told"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     consistent = across.filter(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["of"]))))
     changed = F.size(F.filter("filled", lambda x: x["of"] != x["by"]))
-    result = consistent.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("n_matched"), F.max(F.size("filled")).alias("n_slots"), F.max(changed).alias("n_changed"))
-    return result.filter(F.col("n_matched") >= F.ceil(F.lit(similarity) * F.col("n_windows")))
+    n, m = (F.size(F.array_distinct(F.flatten(F.collect_list(x)))) for x in ("told", "windows"))
+    result = consistent.groupBy("doc_id", "item_id", *sizes).agg(n.alias("told"), m.alias("n"), F.max(F.size("filled")).alias("n_slots"), F.max(changed).alias("n_changed"))
+    by_told = _reach(F.col("told"), F.col("n_telling"), similarity)
+    n_windows, n_matched = (F.when(by_told, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n_telling", "n_all", "n_windows"), ("told", "n", "n_matched")))
+    return result.filter(by_told | _reach(F.col("n"), F.col("n_all"), similarity)).select("doc_id", "item_id", n_windows, n_matched, "n_slots", "n_changed")

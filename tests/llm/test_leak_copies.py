@@ -24,3 +24,15 @@ def test_names_are_told_by_the_word_itself(spark, documents):
         "Clara gives David 7 apples. Bruno then takes 2 apples back. Nothing more is told of them after that day at all",
     ]
     assert found(spark, documents, items, texts) == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3)}
+
+
+def test_items_poor_in_words_and_short_items(spark, documents):
+    items = ["Compute 12 + 34 * 56 - 78 / 90 + 11", "capital city of France", "Anna 5"]
+    texts = [
+        f"some words before it. {items[0]} and some words after it",
+        "some words before it. Compute 13 + 35 * 57 - 79 / 91 + 12 and some words after it",
+        f"they say that the {items[1]} is a fine place to see",
+        "the capital city of Spain and the city of France are fine places",
+        "who saw anna 5 times in a week",
+    ]
+    assert found(spark, documents, items, texts) == {(1, 1), (3, 2), (5, 3)}
