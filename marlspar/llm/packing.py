@@ -34,7 +34,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id:
 
         tok = encoder(tokenizer_path)
         for batch in sub_batches(batches):
-            ids, ends = tok.encode(batch.column(1).to_pylist())
+            ids, ends = tok.encode(batch.column(1))
             raw = np.insert(ids, ends, end_id).astype("<u4")
             data, stops = raw.tobytes(), ends + 1 + np.arange(len(ends))
             doc, piece, start, length, crc, cut = [], [], [], [], [], []

@@ -140,7 +140,7 @@ def read_bytes(path: str) -> bytes:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = 2_000_000, percentile: float = 0.9) -> tuple[DataFrame, str]:
     """Write ids of all documents in ascending doc_id order; returns the manifest (one row per file) and the folder.
 
-    Documents are range-partitioned by doc_id. A task writes a file whenever ``file_ids`` ids have gathered, under a name
+    Documents are range-partitioned by doc_id. A task ends a file after the document that fills it to ``file_ids`` ids, under a name
     with its attempt id: files of failed attempts are never in the manifest. Null doc_ids come first; rows that repeat a
     doc_id follow each other by text. An empty table gives an empty manifest.
     """
@@ -167,14 +167,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, file_id
             return out
 
         for batch in sub_batches(batches):
-            got, ends = tok.encode(batch.column(1).to_pylist())
-            n = np.diff(ends, prepend=0)
-            ids.append(np.insert(got, ends, end_id).astype(np.uint32))
-            kept.append(batch.column(0).to_pylist())
-            sizes.append(n + 1)
-            gathered += len(ids[-1])
-            if gathered >= file_ids:
-                yield flush()
+            got, ends = tok.encode(batch.column(1))
+            got = np.insert(got, ends, end_id).astype(np.uint32)
+            numbers, stops, at = batch.column(0).to_pylist(), np.concatenate([[0], ends + 1 + np.arange(len(ends))]), 0
+            while at < len(numbers):
+                to = min(len(numbers), int(np.searchsorted(stops, stops[at] + file_ids - gathered)))
+                ids.append(got[stops[at] : stops[to]])
+                kept.append(numbers[at:to])
+                sizes.append(np.diff(stops[at : to + 1]))
+                gathered += len(ids[-1])
+                at = to
+                if gathered >= file_ids:
+                    yield flush()
         if kept:
             yield flush()
 

@@ -21,13 +21,15 @@ _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 class _Codes(dict):
-    """Piece -> running code; unknown pieces are noted for encoding."""
+    """Piece -> running code; unknown pieces are noted for encoding. With ``plain`` a piece that is empty or has white space at an edge has code -1."""
 
-    def __init__(self, owner):
+    def __init__(self, owner, plain: bool):
         super().__init__()
-        self.owner, self.fresh = owner, []
+        self.owner, self.plain, self.fresh = owner, plain, []
 
     def __missing__(self, piece: str) -> int:
+        if self.plain and (not piece or piece.strip() != piece):
+            return -1
         self[piece] = code = self.owner.count
         self.owner.count += 1
         self.fresh.append((piece, code))
@@ -35,17 +37,18 @@ class _Codes(dict):
 
 
 class PieceEncoder:
-    """``cache_chars`` bounds the characters of remembered pieces; beyond it the memory starts anew (speed only)."""
+    """``cache_chars`` bounds the characters of remembered pieces; beyond it those used once are forgotten (speed only)."""
 
     #: Pieces that go to the tokenizer as one text.
-    JOINED = 512
+    JOINED = 4096
 
     def __init__(self, tokenizer_path: str, cache_chars: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the tokenizer takes out of a text before anything else; texts that hold one go to it whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has a character for each byte
         for token, number in vocabulary.items():
@@ -54,18 +57,41 @@ class PieceEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.bare, self.spaced = _Codes(self), _Codes(self)
-        self.odd: list[int] = []
+        self.bare, self.spaced = _Codes(self, False), _Codes(self, True)
         self.count = self.chars = self.used = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.uses = np.zeros(1 << 16, dtype=np.int32)
+
+    def trim(self) -> None:
+        """Forget the pieces used least since the last trim: all used once, and more while over half of the memory is taken.
+
+        What stays counts as used once, so a piece stays as long as it returns between two trims.
+        """
+        known = [(piece, code, table) for table in (self.spaced, self.bare) for piece, code in table.items()]
+        codes = np.fromiter((x[1] for x in known), dtype=np.int64, count=len(known))
+        weight = np.fromiter((len(x[0]) + 12 for x in known), dtype=np.int64, count=len(known))
+        uses, least = self.uses[codes], 2
+        while weight[uses >= least].sum() > self.cache_chars // 2:
+            least *= 2
+        kept = np.flatnonzero(uses >= least)
+        old, flat, starts, sizes = codes[kept], self.flat, self.starts, self.sizes
+        was_spaced = [known[i][2] is self.spaced for i in kept.tolist()]
+        pieces = [known[i][0] for i in kept.tolist()]
+        self.reset()
+        for code, (piece, spaced) in enumerate(zip(pieces, was_spaced, strict=True)):
+            dict.__setitem__(self.spaced if spaced else self.bare, piece, code)
+        self.count, self.chars = len(pieces), int(weight[kept].sum())
+        n = sizes[old]
+        self._put(np.arange(len(old)), flat[np.repeat(starts[old] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
+        self.uses[: len(old)] = 1
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _put(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         while len(self.starts) < self.count:
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -75,10 +101,6 @@ class PieceEncoder:
     def _settle(self) -> None:
         """Encode the noted pieces. Space-led ones go many to a text, and the bytes of each id tell where a piece ends."""
         spaced, self.spaced.fresh = self.spaced.fresh, []
-        odd = [code for piece, code in spaced if not piece or piece.strip() != piece]
-        if odd:
-            self.odd += odd
-            spaced = [x for x in spaced if x[0] and x[0].strip() == x[0]]
         if spaced:
             pieces = [x[0] for x in spaced]
             groups = self.direct([" " + " ".join(pieces[at : at + self.JOINED]) for at in range(0, len(pieces), self.JOINED)])
@@ -94,31 +116,45 @@ class PieceEncoder:
             self._put(np.array([x[1] for x in bare]), ids, np.array([len(x) for x in groups]))
             self.chars += sum(len(x[0]) + 12 for x in bare)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and where each text's ids end. Null counts as empty."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` (a list or an Arrow array) in one array, and where each text's ids end. Null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if self.chars > self.cache_chars:
-            self.reset()
-        codes: list[list[int]] = []
-        for text in texts:
-            if not text:
-                codes.append([])
-                continue
-            first, *rest = text.split(" ")
-            own = list(map(self.spaced.__getitem__, rest))
-            codes.append([self.bare[first], *own] if first and first.strip() == first else None)
-        self._settle()
-        odd = set(self.odd)
-        for k, text in enumerate(texts):
-            if codes[k] is None or odd and not odd.isdisjoint(codes[k]):
-                codes[k] = [self.bare[x] for x in (_CHUNK.findall(text) if not _SEPARATORS.search(text) else [text])]
+            self.trim()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        parts = pc.split_pattern(texts, " ")
+        starts = np.asarray(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()
+        pieces = parts.flatten()
+        coded = pieces.dictionary_encode()  # a look-up for each distinct piece of the batch
+        known = np.fromiter(map(self.spaced.__getitem__, coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
+        codes = known[np.asarray(coded.indices)]
+        starts, ends = starts[:-1], starts[1:]
+        first = pieces.take(pa.array(starts)).to_pylist()
+        codes[starts] = [self.bare[x] if x and x.strip() == x else -1 for x in first]
+        apart = np.logical_or.reduceat(codes < 0, starts)
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= np.asarray(pc.match_substring(texts, token))
+        rows, upto, at = [], ends.copy(), 0
+        for k in np.flatnonzero(apart | whole).tolist():
+            text = texts[k].as_py()
+            own = [self.bare[x] for x in ([text] if whole[k] or _SEPARATORS.search(text) else _CHUNK.findall(text))]
+            rows += [codes[at : starts[k]], np.array(own, dtype=np.int64)]
+            upto[k:] += len(own) - int(ends[k] - starts[k])
+            at = ends[k]
+        codes = np.concatenate([*rows, codes[at:]])
         self._settle()
-        upto = np.cumsum(np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)))
-        if not len(upto) or not upto[-1]:
+        if not len(codes):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        c = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=int(upto[-1]))
-        sizes = self.sizes[c]
+        seen = np.bincount(codes)
+        self.uses[: len(seen)] += seen.astype(np.int32)
+        sizes = self.sizes[codes]
         after = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[c] - (after - sizes), sizes) + np.arange(after[-1])]
+        ids = self.flat[np.repeat(self.starts[codes] - (after - sizes), sizes) + np.arange(after[-1])]
         return ids, np.concatenate([[0], after])[upto]
 
 

@@ -17,9 +17,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    """The library's tokenizer as it is loaded."""
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +39,21 @@ def test_ids_equal_the_library(texts):
         at = end
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> x", "  <|endoftext|>  b", "x<|endoftext|>y \n<|endoftext|>", "<|endoftext"])
+def test_literal_special_tokens_are_the_library_s(plain, text):
+    ids, ends = SHARED.encode(["a b", text, None, "c"])
+    assert ids[ends[0] : ends[1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(ids) == ends[3] and ends[1] == ends[2]
+
+
+def test_trim_keeps_what_returns(plain):
+    encoder = PieceEncoder(PATH, cache_chars=600)
+    for k in range(50):
+        encoder.encode(["always the same", f"once{k} once{k}x once{k}y"])
+    assert {"the", "same"} <= set(encoder.spaced) and len(encoder.spaced) < 60
+    assert encoder.encode(["always the same"])[0].tolist() == plain.encode("always the same", add_special_tokens=False).ids
+
+
 def test_ids_after_memory_starts_anew(plain, pieces):
     rng = random.Random(1)
     for _ in range(20):
