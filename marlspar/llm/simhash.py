@@ -101,23 +101,47 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within_radius(differences, alive: np.ndarray) -> np.ndarray:
-    """Lanes of ``alive`` with at most three set among the planes that ``differences`` yields.
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    ones and twos are a carry-save counter in each lane; a fourth difference overflows and clears the lane for good. The
-    planes end early when no lane is left.
+
+def within_radius(differences, alive: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Lanes of ``alive`` with at most ``radius`` set among the planes that ``differences`` yields.
+
+    Each lane has a carry-save counter, one word for each of its bits; it starts so high that difference ``radius`` + 1
+    overflows, which clears the lane for good. The planes end early when no lane is left.
     """
-    ones, twos, alive = np.zeros_like(alive), np.zeros_like(alive), alive.copy()
+    bits = radius.bit_length()
+    head = (1 << bits) - 1 - radius
+    counters = [np.full_like(alive, FULL if head >> b & 1 else 0) for b in range(bits)]
+    alive = alive.copy()
     for k, x in enumerate(differences):
-        carry = ones & x
-        ones ^= x
-        alive &= ~(twos & carry)
-        twos ^= carry
+        for counter in counters:
+            carry = counter & x
+            counter ^= x
+            x = carry
+        alive &= ~x
         if k & 7 == 7 and not alive.any():
             break
     return alive
 
 
+def near_lanes(planes: np.ndarray, ask: int, open_lanes: np.ndarray, radius: int = RADIUS, block: int = 64) -> np.ndarray:
+    """Those of ``open_lanes`` (words) within the radius of ``ask``: in blocks of ``block`` words, each given up on its own."""
+    out = np.zeros_like(open_lanes)
+    for at in range(0, len(open_lanes), block):
+        now = slice(at, at + block)
+        if open_lanes[now].any():
+            out[now] = within_radius((planes[b, now] ^ FULL if ask >> b & 1 else planes[b, now] for b in range(64)), open_lanes[now], radius)
+    return out
+
+
+def lane_words(flags: np.ndarray) -> np.ndarray:
+    """Flags of lanes as words."""
+    padded = np.zeros(-(-len(flags) // 64) * 64, dtype=np.uint8)
+    padded[: len(flags)] = flags
+    return np.packbits(padded, bitorder="little").view(np.uint64)
+
+
 def _lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little")[:n].astype(bool)
 
@@ -126,19 +150,17 @@ def link_bucket(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links (as positions) that connect what is connected within the radius: each found lane is asked once, against lanes not found yet."""
     left, links = np.arange(len(prints)), []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        planes = bit_planes(prints[left]) if len(left) else None
-        while queue and len(left):
-            q = queue.pop()
-            ask = int(prints[q])
-            full = np.full(planes.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF))
-            near = _lanes(within_radius((planes[b] ^ full if ask >> b & 1 else planes[b] for b in range(64)), full), len(left))
-            if near.any():
-                found = left[near].tolist()
-                links += [(q, x) for x in found]
+        planes, free = bit_planes(prints[left]), np.ones(len(left), dtype=bool)
+        while 2 * free.sum() > len(left):  # planes are laid out anew when half of the lanes are found
+            queue = [int(free.argmax())]
+            free[queue[0]] = False
+            while queue and free.any():
+                q = queue.pop()
+                found = np.flatnonzero(_lanes(near_lanes(planes, int(prints[left[q]]), lane_words(free)), len(left))).tolist()
+                links += [(int(left[q]), int(left[x])) for x in found]
                 queue += found
-                left = left[~near]
-                planes = bit_planes(prints[left]) if len(left) else None
+                free[found] = False
+        left = left[free]
     return links
 
 
@@ -150,8 +172,7 @@ def link_small_buckets(prints: np.ndarray, bucket: np.ndarray, most: int) -> tup
         if not len(same):
             break
         left, right = bit_planes(prints[same]), bit_planes(prints[same + shift])
-        full = np.full(left.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF))
-        near = _lanes(within_radius((left[k] ^ right[k] for k in range(64)), full), len(same))
+        near = _lanes(within_radius((left[k] ^ right[k] for k in range(64)), np.full(left.shape[1], FULL)), len(same))
         a.append(same[near])
         b.append(same[near] + shift)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
