@@ -10,6 +10,7 @@ in words are matched by their plain words alone, and items shorter than a window
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import write_table
@@ -23,44 +24,43 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 
 def _plain(text):
     """Text with the marks inside numbers dropped, so that a number is one word."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,](?=\p{N})", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,](?<=\p{N}[.,])(?=\p{N})", "")
 
 
 def template(text):
-    """Canonical text: names are capitalised words, wherever they stand; units follow numbers."""
-    named = F.regexp_replace(_plain(text), r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*", NAME)
+    """Canonical text: names are capitalised words, wherever they stand; units follow numbers. Each pattern begins with what is rare."""
+    named = F.regexp_replace(_plain(text), r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}*", NAME)
     numbered = F.regexp_replace(named, r"\p{N}+", NUMBER)
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    return F.lower(F.regexp_replace(numbered, rf"(?<={NUMBER})( ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
+    return F.lower(F.regexp_replace(numbered, rf"{NUMBER}( ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}"))
 
 
 def _words(text):
     return F.array_remove(F.split(text, SEPARATOR, -1), "")
 
 
-def _hashes(w: str):
-    """Hashes of the windows of a column of word hashes; shorter arrays are one window."""
-    last = F.greatest(F.size(w) - WINDOW, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+def text_key():
+    """Names a document: its id and its text, so that rows with a null or a repeated id stay apart unless they are equal."""
+    number = F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\n", number, F.coalesce("text", F.lit("")))))
 
 
 def _both(df: DataFrame, key: str) -> DataFrame:
-    """key, the template's ``words`` and the words as they stand, ``raw``, of every text that has words."""
-    return df.select(key, _words(template(F.col("text"))).alias("words"), _words(_plain(F.col("text"))).alias("raw")).filter(F.size("words") > 0)
+    """key, the template's ``words`` and the plain words in lower case, ``raw``, of every text that has words."""
+    return df.select(key, _words(template(F.col("text"))).alias("words"), _words(F.lower(_plain(F.col("text")))).alias("raw")).filter(F.size("words") > 0)
 
 
-def _windows(df: DataFrame, key: str, at: str) -> DataFrame:
-    """key, position and hash of each window, by template (``h``) and by plain words (``plain``). Needs ``words`` and ``raw``."""
-    hashed = df.select(key, F.transform("words", lambda x: F.xxhash64(x)).alias("w"), F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("v"))
-    pairs = F.arrays_zip(_hashes("w").alias("h"), _hashes("v").alias("plain"))
-    return hashed.select(key, F.posexplode(pairs).alias(at, "pair")).select(key, at, "pair.h", "pair.plain")
+def _windows(df: DataFrame, key: str, at: str, size: int = WINDOW, by_template: bool = True) -> DataFrame:
+    """key, position and hash of each window of ``size`` words, by plain words (``plain``) and by template (``h``).
 
-
-def _short_windows(df: DataFrame, key: str, at: str, size: int) -> DataFrame:
-    """key, position and hash by plain words of each window of ``size`` words in longer texts. Needs ``raw``."""
-    hashed = df.filter(F.size("raw") > size).select(key, F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("v"))
-    own = F.transform(F.sequence(F.lit(0), F.size("v") - size), lambda i: F.xxhash64(*[F.get("v", i + k) for k in range(size)]))
-    return hashed.select(key, F.posexplode(own).alias(at, "h"))
+    A text with fewer words is one window. The words of a window come side by side from arrays that are moved against each
+    other, so that exploding and hashing stay in generated code.
+    """
+    sides = ["raw"] + ["words"] * by_template
+    moved = df.select(key, *[(F.slice(x, k + 1, F.size(x)) if k else F.col(x)).alias(f"{x}{k}") for x in sides for k in range(size)])
+    rows = moved.select(key, F.posexplode(F.arrays_zip(*[f"{x}{k}" for x in sides for k in range(size)])).alias(at, "of"))
+    whole = rows.filter((F.col(at) == 0) | F.col(f"of.raw{size - 1}").isNotNull())
+    return whole.select(key, at, *[F.xxhash64(*[F.col(f"of.{x}{k}") for k in range(size)]).alias("plain" if x == "raw" else "h") for x in sides])
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -81,6 +81,21 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return kept.join(count, "item_id")
 
 
+def _rarest(wanted: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """item_id and h of each item's rarest windows, so many that what reaches the similarity holds one of them.
+
+    An item with n windows of which m must be found is found nowhere without one of any n - m + 1; those in the fewest
+    documents name the fewest candidates, and windows that everyone holds name none.
+    """
+    spread = found.groupBy("h").agg(F.count("*").alias("hits"))
+    windows = wanted.join(spread, "h", "left").groupBy("item_id", "window", "telling", "n_telling", "n_all").agg(F.sum(F.coalesce("hits", F.lit(0))).alias("hits"))
+    turn = W.orderBy("hits", "window")
+    ranked = windows.withColumn("among_all", F.row_number().over(turn.partitionBy("item_id"))).withColumn("among_telling", F.row_number().over(turn.partitionBy("item_id", "telling")))
+    enough = lambda n: F.col(n) - F.ceil(F.lit(similarity) * F.col(n)) + 1
+    rare = ranked.filter((F.col("among_all") <= enough("n_all")) | F.col("telling") & (F.col("among_telling") <= enough("n_telling")))
+    return wanted.join(rare.select("item_id", "window"), ["item_id", "window"], "left_semi").select("item_id", "h").distinct()
+
+
 def _reach(found, wanted, similarity: float):
     return (wanted > 0) & (found >= F.ceil(F.lit(similarity) * wanted))
 
@@ -88,38 +103,55 @@ def _reach(found, wanted, similarity: float):
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, n_windows, n_matched, n_slots, n_changed.
 
+    As ``leak_pairs``; rows that are equal in doc_id and text return one pair, rows with a null doc_id a null.
+    """
+    return leak_pairs(docs, items, similarity, broadcast_rows).drop("doc_key")
+
+
+def leak_pairs(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """doc_key (``text_key``), doc_id, item_id, n_windows, n_matched, n_slots, n_changed of each pair.
+
     n_matched counts the item's distinct windows found on consistently filled alignments, at least ``similarity`` of
     n_windows: the telling windows where those reach it, else all windows. n_changed counts the slots filled with another
     value. Benchmark windows are broadcast up to ``broadcast_rows`` (about 16 bytes each), else both sides are shuffled by
-    the hash. Null and empty texts match nothing; rows with a null id are left out; rows that repeat a doc_id count as one
-    document, items that repeat an item_id as one item.
+    the hash. Null and empty texts match nothing; items with a null id are left out, items that repeat an item_id count as
+    one item; empty tables give none.
     """
     wanted, _ = write_table(benchmark_windows(items), "benchmark-windows")
-    keys = wanted.select("h").distinct()
-    if keys.count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    words = _both(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
-    either = _windows(words, "doc_id", "dpos").select("doc_id", "dpos", F.explode(F.array_distinct(F.array("h", "plain"))).alias("h"))
+    small = wanted.count() <= broadcast_rows
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    named = docs.select("doc_id", "text").withColumn("doc_key", text_key())
+    words = _both(named, "doc_key")
+    either = _windows(words, "doc_key", "dpos")
+    either = either.select("doc_key", "dpos", F.explode(F.when(F.col("h") == F.col("plain"), F.array("h")).otherwise(F.array("h", "plain"))).alias("h"))
     for size in sorted(r[0] for r in wanted.select(F.size("slots")).distinct().collect()):
         if size < WINDOW:
-            either = either.unionByName(_short_windows(words, "doc_id", "dpos", size))
-    found, _ = write_table(either.join(keys, "h", "left_semi"), "window-hits")
-    hits = found.join(wanted, "h")
+            own = _windows(words.filter(F.size("raw") > size), "doc_key", "dpos", size, by_template=False)
+            either = either.unionByName(own.select("doc_key", "dpos", F.col("plain").alias("h")))
+    found, found_path = write_table(either.join(few(wanted.select("h").distinct()), "h", "left_semi"), "window-hits")
+    rare = _rarest(wanted, found, similarity)
+    pairs = found.join(few(rare), "h").select("doc_key", "item_id").distinct()
+    hits = found.distinct().join(pairs, "doc_key").join(few(wanted), ["item_id", "h"])
     told = F.when(F.col("telling"), F.col("window"))
     sizes = ["n_telling", "n_all"]
-    counted = hits.groupBy("doc_id", "item_id", *sizes).agg(F.countDistinct(told).alias("told"), F.countDistinct("window").alias("n"))
-    close = counted.filter(_reach(F.col("told"), F.col("n_telling"), similarity) | _reach(F.col("n"), F.col("n_all"), similarity)).select("doc_id", "item_id")
-    aligned = hits.join(close, ["doc_id", "item_id"])
-    texts = docs.join(close.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words(_plain(F.col("text"))).alias("doc_words"))
-    both = aligned.join(texts, "doc_id").withColumn("doc_words", F.slice("doc_words", F.col("dpos") + 1, WINDOW))
-    line = ["doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "window", "telling", *sizes]
-    pairs = F.filter(F.arrays_zip("slots", "item_words", "doc_words"), lambda x: x["slots"])
-    slots = both.select(*line, F.transform(pairs, lambda x: F.struct(F.lower(x["item_words"]).alias("of"), F.lower(x["doc_words"]).alias("by"))).alias("filled"))
-    across = slots.groupBy("doc_id", "item_id", "diagonal", *sizes).agg(F.collect_set("window").alias("windows"), F.collect_set(told).alias("told"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    counted = hits.groupBy("doc_key", "item_id", *sizes).agg(F.countDistinct(told).alias("told"), F.countDistinct("window").alias("n"))
+    near = counted.filter(_reach(F.col("told"), F.col("n_telling"), similarity) | _reach(F.col("n"), F.col("n_all"), similarity)).select("doc_key", "item_id")
+    close, _ = write_table(near, "leak-candidates")
+    aligned = found.distinct().join(close, "doc_key").join(few(wanted), ["item_id", "h"])
+    texts = named.join(close.select("doc_key").distinct(), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.first(_words(_plain(F.col("text")))).alias("doc_words"))
+    both = aligned.join(texts, "doc_key").withColumn("doc_words", F.slice("doc_words", F.col("dpos") + 1, WINDOW))
+    of = ["doc_key", "doc_id", "item_id"]
+    line = [*of, (F.col("dpos") - F.col("ipos")).alias("diagonal"), "window", "telling", *sizes]
+    filled = F.filter(F.arrays_zip("slots", "item_words", "doc_words"), lambda x: x["slots"])
+    slots = both.select(*line, F.transform(filled, lambda x: F.struct(F.lower(x["item_words"]).alias("of"), F.lower(x["doc_words"]).alias("by"))).alias("filled"))
+    across = slots.groupBy(*of, "diagonal", *sizes).agg(F.collect_set("window").alias("windows"), F.collect_set(told).alias("told"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     consistent = across.filter(F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda x: x["of"]))))
     changed = F.size(F.filter("filled", lambda x: x["of"] != x["by"]))
     n, m = (F.size(F.array_distinct(F.flatten(F.collect_list(x)))) for x in ("told", "windows"))
-    result = consistent.groupBy("doc_id", "item_id", *sizes).agg(n.alias("told"), m.alias("n"), F.max(F.size("filled")).alias("n_slots"), F.max(changed).alias("n_changed"))
+    result = consistent.groupBy(*of, *sizes).agg(n.alias("told"), m.alias("n"), F.max(F.size("filled")).alias("n_slots"), F.max(changed).alias("n_changed"))
     by_told = _reach(F.col("told"), F.col("n_telling"), similarity)
     n_windows, n_matched = (F.when(by_told, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n_telling", "n_all", "n_windows"), ("told", "n", "n_matched")))
-    return result.filter(by_told | _reach(F.col("n"), F.col("n_all"), similarity)).select("doc_id", "item_id", n_windows, n_matched, "n_slots", "n_changed")
+    return result.filter(by_told | _reach(F.col("n"), F.col("n_all"), similarity)).select(*of, n_windows, n_matched, "n_slots", "n_changed")
