@@ -5,9 +5,14 @@ windows whose anchor occurs in two documents can repeat, and all windows of an a
 neighbouring windows with one anchor is a segment.
 
 Documents are dealt into blocks. A block tells each anchor bucket which anchors it holds and hears which of them others hold
-too; it then sends those segments, once for each distinct content with its smallest document, to the segment's bucket. There
-a suffix array over the distinct segments and common prefixes of neighbours give the smallest document of each window, and
-what has to go returns to the block. However often a passage occurs, a bucket gets it once from each block.
+too; it then sends those segments, once for each distinct content with its smallest and its largest document, to the
+segment's bucket. There a suffix array over the distinct segments and common prefixes of neighbours give the smallest
+document of each window, which returns to the blocks; a block marks its own occurrences, which no bucket sees. However often
+a passage occurs, a bucket gets it once from each block.
+
+All that surrounds a very common string has that string's anchor. Where an anchor has over ``hot`` segments, they are cut by
+where the anchor lies in the window, to pieces of up to ``STEP`` windows with a string of 47 bytes in common, and dealt by
+that string: a bucket gathers no more than what differs in the three bytes around it.
 """
 
 from __future__ import annotations
@@ -22,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 from .suffixes import common_prefixes_reach, suffix_array
 
-LENGTH, GRAM, MOST = 50, 16, 64  # bytes of a string, of an anchor's string, windows of a segment
+LENGTH, GRAM, MOST, STEP = 50, 16, 64, 4  # bytes of a string, of an anchor's string, windows of a segment, of a hot piece
 NO_ID = (1 << 63) - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def window_anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of each ``LENGTH``-byte window of ``data`` (uint8, at least ``LENGTH`` long)."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of ``GRAM`` bytes."""
     w = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     h = w[:-8] * _MIX[0]
     h ^= h >> np.uint64(29)
@@ -36,6 +41,12 @@ def window_anchors(data: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= _MIX[2]
     h ^= h >> np.uint64(29)
+    return h
+
+
+def window_anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of each ``LENGTH``-byte window of ``data`` (uint8, at least ``LENGTH`` long)."""
+    h = gram_hashes(data)
     span = LENGTH - GRAM + 1  # 16-byte strings in a window
     width = 1
     while 2 * width <= span:
@@ -115,8 +126,16 @@ def _slices(sorted_keys: np.ndarray):
             yield int(sorted_keys[a]), a, b
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(x.astype("<i8").tobytes() for x in columns))
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype="<i8").reshape(columns, -1)
+
+
 def list_anchors(block_id: int, block: Block, buckets: int):
-    """(bucket, block, keys, in_two) rows: the block's distinct keys, and which of them two of its own documents hold."""
+    """(bucket, block, keys, in_two, counts) rows: the block's distinct keys, which of them two of its own documents hold, and their segments."""
     bucket, key = _keys(block.anchor, buckets)
     order = np.lexsort((block.doc, key, bucket))
     bucket, key, doc = bucket[order], key[order], block.doc[order]
@@ -124,20 +143,22 @@ def list_anchors(block_id: int, block: Block, buckets: int):
         return
     first = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
     starts = np.flatnonzero(first)
-    two = doc[starts] != doc[np.append(starts[1:], len(doc)) - 1]
+    ends = np.append(starts[1:], len(doc))
+    two = doc[starts] != doc[ends - 1]
     for b, lo, hi in _slices(bucket[starts]):
-        yield b, block_id, _to_bytes(key[starts[lo:hi]]), np.packbits(two[lo:hi]).tobytes()
+        yield b, block_id, _to_bytes(key[starts[lo:hi]]), np.packbits(two[lo:hi]).tobytes(), zstandard.compress((ends - starts)[lo:hi].astype("<u4").tobytes())
 
 
-def shared_anchors(bucket: int, blocks: list[int], keys: list[bytes], in_two: list[bytes], hot: int):
-    """(block, bucket, keys, hot_keys) rows: those of a block's keys that two documents hold; hot where over ``hot`` blocks do."""
+def shared_anchors(bucket: int, blocks: list[int], keys: list[bytes], in_two: list[bytes], counts: list[bytes], hot: int):
+    """(block, bucket, keys, hot_keys) rows: those of a block's keys that two documents hold; hot where over ``hot`` segments do."""
     own = [_from_bytes(k) for k in keys]
     sizes = np.array([len(k) for k in own])
     every = np.concatenate(own)
     two = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8))[:n].astype(bool) for t, n in zip(in_two, sizes.tolist(), strict=True)])
+    segments = np.concatenate([np.frombuffer(zstandard.decompress(c), dtype="<u4") for c in counts])
     _, place, count = np.unique(every, return_inverse=True, return_counts=True)
     shared = (count > 1) | (np.bincount(place, weights=two) > 0)
-    take, much = shared[place], count[place] > hot
+    take, much = shared[place], (np.bincount(place, weights=segments) > hot)[place]
     at = 0
     for block, n in zip(blocks, sizes.tolist(), strict=True):
         part, mine = every[at : at + n], take[at : at + n]
@@ -147,99 +168,138 @@ def shared_anchors(bucket: int, blocks: list[int], keys: list[bytes], in_two: li
         at += n
 
 
-def list_segments(block_id: int, block: Block, buckets: int, shared: list[tuple[int, bytes, bytes]]):
-    """(bucket, block, payload) rows: distinct contents of segments with a shared anchor, and where they occur.
+def hot_pieces(content: bytes):
+    """(first window, windows, common string) of the pieces that a segment of a hot anchor is cut to.
+
+    Where the anchor lies in a window follows from the window, and so does the string: equal windows meet in one bucket.
+    """
+    grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(np.frombuffer(content, dtype=np.uint8)), LENGTH - GRAM + 1)
+    place = grams.argmin(axis=1)
+    core = np.arange(len(place)) + place % STEP
+    cuts = [0, *(np.flatnonzero(np.diff(core)) + 1).tolist(), len(core)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield a, b - a, content[core[a] : core[a] + LENGTH - STEP + 1]
 
-    Segments of hot anchors go as single windows, dealt by their content instead of the anchor, so that no bucket gathers all
-    that surrounds a very common string.
+
+def list_segments(block_id: int, block: Block, buckets: int, shared: list[tuple[int, bytes, bytes]]):
+    """(to, block, segments, lengths, least, most) rows: distinct contents of segments with a shared anchor for bucket ``to``,
+    with the smallest and the largest document that hold each; and, for the block itself (``to`` -1 - block), where they occur.
     """
     bucket, key = _keys(block.anchor, buckets)
     own = key * buckets + bucket
     plain, hot = (np.concatenate([np.zeros(0, np.int64), *(_from_bytes(x[i]) * buckets + x[0] for x in shared)]) for i in (1, 2))
-    todo: list[tuple[int, int, int, bytes]] = [(int(bucket[i]), int(block.doc[i]), int(block.start[i]), block.content(i)) for i in np.flatnonzero(np.isin(own, plain)).tolist()]
+    picked = np.flatnonzero(np.isin(own, plain))
+    todo: list[tuple[int, int, int, bytes]] = list(zip(bucket[picked].tolist(), block.doc[picked].tolist(), block.start[picked].tolist(), map(block.content, picked.tolist()), strict=True))
     for i in np.flatnonzero(np.isin(own, hot)).tolist() if len(hot) else []:
-        for at in range(int(block.start[i]), int(block.start[i] + block.windows[i])):
-            content = block.joined[at : at + LENGTH]
-            todo.append((int.from_bytes(hashlib.blake2b(content, digest_size=6).digest(), "big") % buckets, int(block.doc[i]), at, content))
-    by_bucket: dict[int, tuple[dict[bytes, int], list, list, list]] = {}
-    for b, doc, start, content in todo:
-        known, which, docs, starts = by_bucket.setdefault(b, ({}, [], [], []))
-        which.append(known.setdefault(content, len(known)))
-        docs.append(doc)
-        starts.append(start)
-    for b, (known, which, docs, starts) in by_bucket.items():
-        docs = np.array(docs)
-        yield b, block_id, zstandard.compress(b"".join(known)), np.fromiter(map(len, known), dtype="<i4", count=len(known)).tobytes(), np.array(which, dtype="<i4").tobytes(), block.doc_ids[docs].astype("<i8").tobytes(), (np.array(starts) - block.at[docs]).astype("<i8").tobytes()
-
-
-def repeated_ranges(blocks: list[int], texts: list[bytes], lengths: list[bytes], which: list[bytes], docs: list[bytes], starts: list[bytes]):
-    """(block, doc_ids, from, to) rows: byte ranges covered by windows that also start in a smaller document."""
+        content, start = block.content(i), int(block.start[i])
+        for at, n, core in hot_pieces(content):
+            todo.append((int.from_bytes(hashlib.blake2b(core, digest_size=6).digest(), "big") % buckets, int(block.doc[i]), start + at, content[at : at + n + LENGTH - 1]))
+    if not todo:
+        return
+    by_bucket: dict[int, dict[bytes, int]] = {}
+    which = np.fromiter((known.setdefault(x[3], len(known)) for x in todo for known in (by_bucket.setdefault(x[0], {}),)), dtype=np.int64, count=len(todo))
+    to, doc, start = (np.fromiter((x[i] for x in todo), dtype=np.int64, count=len(todo)) for i in range(3))
+    number = block.doc_ids[doc]
+    order = np.lexsort((start, number, which, to))
+    spot = to << 32 | which
+    starts = np.flatnonzero(np.diff(spot[order], prepend=-1))
+    ends = np.append(starts[1:], len(order)) - 1
+    least, most = number[order[starts]], number[order[ends]]
+    for b, lo, hi in _slices(to[order[starts]]):
+        known = by_bucket[b]
+        yield b, block_id, zstandard.compress(b"".join(known)), np.fromiter(map(len, known), dtype="<i4", count=len(known)).tobytes(), least[lo:hi].astype("<i8").tobytes(), most[lo:hi].astype("<i8").tobytes()
+    yield -1 - block_id, block_id, _pack(*(x[order] for x in (spot, number, start - block.at[doc]))), b"", b"", b""
+
+
+def smallest_holders(bucket: int, blocks: list[int], texts: list[bytes], lengths: list[bytes], least: list[bytes], most: list[bytes]):
+    """(block, bucket, runs) rows: for windows that also start in a smaller document than the largest of the block, which
+    content and windows they are and their smallest document. A block's own row passes on with bucket -1."""
+    if bucket < 0:
+        for block, text in zip(blocks, texts, strict=True):
+            yield block, -1, text
+        return
     known: dict[bytes, int] = {}
-    at_block, segment, doc, start = [], [], [], []
-    for block, text, length, own, d, s in zip(blocks, texts, lengths, which, docs, starts, strict=True):
+    segment, low, high, at_block, index = [], [], [], [], []
+    for block, text, length, a, b in zip(blocks, texts, lengths, least, most, strict=True):
         text, ends = zstandard.decompress(text), np.cumsum(np.frombuffer(length, dtype="<i4")).tolist()
-        numbers = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)], dtype=np.int64)
-        own = np.frombuffer(own, dtype="<i4")
-        segment.append(numbers[own])
-        doc.append(np.frombuffer(d, dtype="<i8"))
-        start.append(np.frombuffer(s, dtype="<i8"))
-        at_block.append(np.full(len(own), block))
-    at_block, segment, doc, start = (np.concatenate(x) for x in (at_block, segment, doc, start))
+        segment.append(np.array([known.setdefault(text[x:y], len(known)) for x, y in zip([0, *ends], ends, strict=False)], dtype=np.int64))
+        low.append(np.frombuffer(a, dtype="<i8"))
+        high.append(np.frombuffer(b, dtype="<i8"))
+        at_block.append(np.full(len(ends), block))
+        index.append(np.arange(len(ends)))
+    segment, low, high, at_block, index = (np.concatenate(x) for x in (segment, low, high, at_block, index))
     sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
     text = np.frombuffer(b"\xff".join(known) + b"\xff", dtype=np.uint8)  # no UTF-8 text holds this byte
     begin = np.cumsum(sizes + 1) - sizes - 1
-    least = np.full(len(known), NO_ID, dtype=np.int64)
-    np.minimum.at(least, segment, doc)
+    smallest = np.full(len(known), NO_ID, dtype=np.int64)
+    np.minimum.at(smallest, segment, low)
     order = suffix_array(text, LENGTH)
     group = np.cumsum(~common_prefixes_reach(text, order, LENGTH))
     holder = np.repeat(np.arange(len(known)), sizes + 1)
     runs = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     first = np.empty(len(text), dtype=np.int64)
-    first[order] = np.repeat(np.minimum.reduceat(least[holder[order]], runs), np.diff(np.append(runs, len(order))))
+    first[order] = np.repeat(np.minimum.reduceat(smallest[holder[order]], runs), np.diff(np.append(runs, len(order))))
     windows = sizes[segment] - LENGTH + 1
     owner = np.repeat(np.arange(len(segment)), windows)
     k = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = np.flatnonzero(first[begin[segment[owner]] + k] < doc[owner])
+    holds = first[begin[segment[owner]] + k]
+    gone = np.flatnonzero(holds < high[owner])
     if not len(gone):
         return
-    owner, k = owner[gone], k[gone]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (k[1:] != k[:-1] + 1)])
-    a = np.flatnonzero(new)
+    owner, k, holds = owner[gone], k[gone], holds[gone]
+    a = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (k[1:] != k[:-1] + 1) | (holds[1:] != holds[:-1])]))
     b = np.append(a[1:], len(k)) - 1
-    owner, low, high = owner[a], start[owner[a]] + k[a], start[owner[a]] + k[b] + LENGTH
+    owner, holds, begins, ends = owner[a], holds[a], k[a], k[b] + LENGTH
     by = np.argsort(at_block[owner], kind="stable")
     for block, lo, hi in _slices(at_block[owner[by]]):
         pick = by[lo:hi]
-        yield block, doc[owner[pick]].astype("<i8").tobytes(), low[pick].astype("<i8").tobytes(), high[pick].astype("<i8").tobytes()
-
-
-def cut_ranges(doc_ids: list[int], texts: list[bytes], ranges: list[tuple[bytes, bytes, bytes]]):
+        yield block, bucket, _pack(np.int64(bucket) << 32 | index[owner[pick]], holds[pick], begins[pick], ends[pick])
+
+
+def own_ranges(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, from and to of the byte ranges that have to go, from a block's (bucket, runs) rows."""
+    none = np.zeros(0, dtype=np.int64)
+    places = [_unpack(data, 3) for bucket, data in rows if bucket < 0]
+    runs = [_unpack(data, 4) for bucket, data in rows if bucket >= 0]
+    if not places or not runs:
+        return none, none, none
+    spot, doc, start = (np.concatenate(x) for x in zip(*places, strict=True))
+    of, holder, begins, ends = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(of, kind="stable")
+    of, holder, begins, ends = of[order], holder[order], begins[order], ends[order]
+    lo, n = np.searchsorted(of, spot, side="left"), np.searchsorted(of, spot, side="right")
+    n -= lo
+    place = np.repeat(np.arange(len(spot)), n)
+    run = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    later = doc[place] > holder[run]
+    place, run = place[later], run[later]
+    return doc[place], start[place] + begins[run], start[place] + ends[run]
+
+
+def cut_ranges(doc_ids: list[int], texts: list[bytes], ranges: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """(n_bytes, n_removed, n_spans, kept) of each text after the ranges of its doc_id are cut out."""
-    by_doc: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for d, a, b in ranges:
-        d, a, b = (np.frombuffer(x, dtype="<i8") for x in (d, a, b))
-        order = np.argsort(d, kind="stable")
-        for number, lo, hi in _slices(d[order]):
-            by_doc.setdefault(number, []).append((a[order[lo:hi]], b[order[lo:hi]]))
+    order = np.argsort(ranges[0], kind="stable")
+    doc, low, high = (x[order] for x in ranges)
+    by_doc = {number: (low[a:b], high[a:b]) for number, a, b in _slices(doc)}
     for number, text in zip(doc_ids, texts, strict=True):
         own = by_doc.get(number)
         if not own:
             yield len(text), 0, 0, text
             continue
-        a, b = (np.concatenate([x[i] for x in own]) for i in (0, 1))
-        depth = np.bincount(a, minlength=len(text) + 1)[: len(text) + 1] - np.bincount(b, minlength=len(text) + 1)[: len(text) + 1]
+        depth = np.subtract(*(np.bincount(x, minlength=len(text) + 1)[: len(text) + 1] for x in own))
         gone = np.cumsum(depth)[: len(text)] > 0
         kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
         yield len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), kept
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot_blocks: int = 4096, blocks: int | None = None, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot: int = 1 << 15, blocks: int | None = None, with_kept: bool = False) -> DataFrame:
     """Cut every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) on demand. Null text counts as empty; a null
     doc_id is larger than any other; rows that share a doc_id never cut one another, and each is cut by what smaller ones
     hold (ranges found in one row apply at the same places of another only where their texts are equal, so keys must be unique
-    for differing texts). An empty table gives none. ``block_bytes`` of text make a block and bound a task's memory.
+    for differing texts). An empty table gives none. ``block_bytes`` of text make a block and bound a task's memory; anchors
+    with over ``hot`` segments are dealt in pieces.
     """
     import pyarrow as pa
 
@@ -256,32 +316,33 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot_blocks: in
     int64, data = pa.int64(), pa.binary()
 
     def anchors(group: pa.Table) -> pa.Table:
-        return table(list_anchors(group.column("block")[0].as_py(), _block(group), buckets), ["bucket", "block", "keys", "in_two"], [int64, int64, data, data])
+        return table(list_anchors(group.column("block")[0].as_py(), _block(group), buckets), ["bucket", "block", "keys", "in_two", "counts"], [int64, int64, data, data, data])
 
     def shared(group: pa.Table) -> pa.Table:
-        return table(shared_anchors(group.column("bucket")[0].as_py(), *(group.column(c).to_pylist() for c in ("block", "keys", "in_two")), hot_blocks), ["block", "bucket", "keys", "hot_keys"], [int64, int64, data, data])
+        return table(shared_anchors(group.column("bucket")[0].as_py(), *(group.column(c).to_pylist() for c in ("block", "keys", "in_two", "counts")), hot), ["block", "bucket", "keys", "hot_keys"], [int64, int64, data, data])
 
-    names = ["bucket", "block", "segments", "lengths", "which", "docs", "starts"]
+    names = ["to", "block", "segments", "lengths", "least", "most"]
 
     def segments(group: pa.Table, found: pa.Table) -> pa.Table:
         rows = ()
         if group.num_rows and found.num_rows:
             rows = list_segments(group.column("block")[0].as_py(), _block(group), buckets, list(zip(*(found.column(c).to_pylist() for c in ("bucket", "keys", "hot_keys")), strict=True)))
-        return table(rows, names, [int64, int64, *[data] * 5])
+        return table(rows, names, [int64, int64, *[data] * 4])
 
-    def ranges(group: pa.Table) -> pa.Table:
-        return table(repeated_ranges(*(group.column(c).to_pylist() for c in names[1:])), ["block", "docs", "low", "high"], [int64, data, data, data])
+    def holders(group: pa.Table) -> pa.Table:
+        return table(smallest_holders(group.column("to")[0].as_py(), *(group.column(c).to_pylist() for c in names[1:])), ["block", "bucket", "runs"], [int64, int64, data])
 
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 
     def cut(group: pa.Table, found: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_pylist()
-        out = cut_ranges([NO_ID if x is None else x for x in ids], [x.encode() for x in group.column("text").to_pylist()], list(zip(*(found.column(c).to_pylist() for c in ("docs", "low", "high")), strict=True)))
+        ranges = own_ranges(list(zip(*(found.column(c).to_pylist() for c in ("bucket", "runs")), strict=True)))
+        out = cut_ranges([NO_ID if x is None else x for x in ids], [x.encode() for x in group.column("text").to_pylist()], ranges)
         rows = [(i, size, gone, spans, hashlib.sha256(kept).hexdigest(), kept) for i, (size, gone, spans, kept) in zip(ids, out, strict=True)]
         return table(rows, result, [int64, int64, int64, int64, pa.string(), data][: len(result)])
 
-    listed = dealt.groupBy("block").applyInArrow(anchors, "bucket long, block long, keys binary, in_two binary")
+    listed = dealt.groupBy("block").applyInArrow(anchors, "bucket long, block long, keys binary, in_two binary, counts binary")
     both = listed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(shared, "block long, bucket long, keys binary, hot_keys binary")
-    sent = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(segments, "bucket long, block long, segments binary, lengths binary, which binary, docs binary, starts binary")
-    gone = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(ranges, "block long, docs binary, low binary, high binary")
+    sent = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(segments, "to long, block long, segments binary, lengths binary, least binary, most binary")
+    gone = sent.repartition(tasks, "to").groupBy("to").applyInArrow(holders, "block long, bucket long, runs binary")
     return dealt.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)

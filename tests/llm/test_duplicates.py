@@ -64,7 +64,33 @@ def test_repeats_across_blocks(documents, hot):
     rng = random.Random(4)
     pool = ["".join(rng.choices("abcd ", k=rng.randint(5, 200))) for _ in range(8)] + ["a" * 300, "é中😀" * 40]
     rows = [(i, "".join(rng.choices(pool, k=rng.randint(0, 4))), "en", "s") for i in rng.sample(range(10_000), 60)]
-    assert rows_of(spans.remove_repeats(documents(rows, extra=True), hot_blocks=hot, blocks=7)) == brute_repeats(rows)
+    assert rows_of(spans.remove_repeats(documents(rows, extra=True), hot=hot, blocks=7)) == brute_repeats(rows)
+
+
+def licensed(n, rng):
+    line = "this one licence line stands in every document of the whole table, whatever it says. " * 2
+    return [(i, "".join(rng.choices("abcdefgh ", k=rng.randint(20, 120))) + line + "".join(rng.choices("abcdefgh ", k=rng.randint(20, 120))), "en", "s") for i in range(n)]
+
+
+def test_a_line_in_every_document(documents):
+    rows = licensed(300, random.Random(6))
+    want = brute_repeats(rows)
+    for hot in (20, 1 << 15):
+        assert rows_of(spans.remove_repeats(documents(rows), hot=hot, blocks=5)) == want
+
+
+def test_hot_segments_spread_over_buckets():
+    rows = licensed(2000, random.Random(7))
+    block = spans.Block([r[0] for r in rows], [r[1].encode() for r in rows])
+    buckets = 64
+    listed = list(spans.list_anchors(0, block, buckets))
+
+    def loads(hot):
+        shared = [row for b, _, *x in listed for row in spans.shared_anchors(b, [0], *([v] for v in x), hot)]
+        sent = spans.list_segments(0, block, buckets, [(b, k, h) for _, b, k, h in shared])
+        return sorted(sum(np.frombuffer(x[3], dtype="<i4").tolist()) for x in sent if x[0] >= 0)
+
+    assert loads(100)[-1] < loads(1 << 15)[-1] / 3
 
 
 def test_repeats_in_awkward_rows(documents, awkward):
