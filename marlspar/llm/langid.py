@@ -214,18 +214,21 @@ def held_out(column="doc_id", folds: int = 3, fold: int = 1):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def sample_labelled(rows: DataFrame, label: str, each: int, most_bytes: int, key: str = "doc_id"):
-    """About ``each`` rows of every label (all, where there are fewer) with texts of up to ``most_bytes``, chosen by a hash of the id."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+def sample_labelled(rows: DataFrame, label: str, each: int, most_bytes: int, key: str = "doc_id", labels: int = 200):
+    """About ``each`` rows of every label (all, where there are fewer) with texts of up to ``most_bytes``, chosen by a hash of the id.
+
+    The sample is bounded: of more than ``labels`` labels the most frequent are taken.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
     spot = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter((spot < share[F.col(label)]) & (F.octet_length("text") <= most_bytes)).select("text", label).orderBy(label, "text").collect()
+    return rows.filter((spot < F.coalesce(share[F.col(label)], F.lit(0.0))) & (F.octet_length("text") <= most_bytes)).select("text", label).orderBy(label, "text").collect()
 
 
 def fit(docs: DataFrame, each: int = 250, most_bytes: int = 20_000) -> Model | None:
-    """Learn from about ``each`` texts a language (of up to ``most_bytes`` bytes), outside the held-out fold, with non-null lang."""
+    """Learn from about ``each`` texts a language (of up to ``most_bytes`` bytes; the 200 most frequent languages), outside the held-out fold, with non-null lang."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), "text", "lang")
     sample = sample_labelled(rows, "lang", each, most_bytes)
     return train([r[0] for r in sample], [r[1] for r in sample]) if sample else None
@@ -238,7 +241,8 @@ _KEPT: dict[str, Labeller] = {}
 def identify(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words and n_switches of every whole text, then the columns ``extra`` as they are.
 
-    ``und`` with score 0 where the text is null, empty or without a letter, or where nothing could be learned.
+    ``und`` with score 0 where the text is null, empty or without a letter, or where nothing could be learned. A null doc_id
+    is carried and never held out; repeated rows return repeated rows; an empty table gives none.
     """
     import uuid
 

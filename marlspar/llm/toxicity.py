@@ -1,8 +1,13 @@
-"""Toxicity by compression distance: windows of a text are compressed with a dictionary of ordinary text and with one that
-also holds what toxic text repeats; windows that shrink by the second alone speak for toxicity.
+"""Toxicity by compression distance: windows of a text are compressed with a dictionary of ordinary text and with that of toxic
+text before it; windows that shrink by the second alone speak for toxicity.
 
-Both dictionaries are trained by zstandard. The toxic one is trained on pieces that recur in toxic texts far more often than
-in ordinary ones and is laid before the ordinary one's content, so that what both know costs the same bytes in either.
+zstandard trains the two dictionaries separately: the ordinary one on all windows of ordinary texts, the toxic one on what
+recurs in toxic texts far more often than in ordinary ones (``telling_pieces``). What both know costs the same bytes in
+either. Trained on all windows of toxic texts instead, with as many bytes as the other and without it behind, the toxic
+dictionary differs from the ordinary one by chance more than by toxicity (figures in the README).
+
+A window's saved bytes are held against thresholds that are calibrated on held-back ordinary texts, each passed by a stated
+share of their windows. A text's score weighs how many of its windows pass each threshold.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import sub_batches
 from .langid import held_out
 
-WORDS, LEVEL, STEPS = 5, 7, (1, 2, 3, 4, 5, 6, 8)  # words of a window, zstandard level, thresholds on saved bytes
+WORDS, LEVEL = 5, 7  # words of a window, zstandard level
+#: Shares of held-back ordinary windows that may pass a threshold.
+RATES = (0.1, 0.03, 0.01, 0.003, 0.001, 0.0003)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -30,19 +37,28 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def train_dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
-    """A trained dictionary's bytes; where zstandard finds the samples too few, the samples themselves."""
+    """A trained dictionary's bytes, at most ``size``. Samples are whole, and repeated as a whole while they are too few for zstandard; without any the dictionary is empty."""
     import zstandard
 
-    try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+    for _ in range(12):
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            samples = samples * 2
+    return b""
+
+
+def calibrate(saved: np.ndarray, rates: tuple[float, ...] = RATES) -> list[int]:
+    """The least numbers of saved bytes that at most each share of ``saved`` (of ordinary windows) reaches; equal ones once."""
+    ordered = np.sort(saved)[::-1]
+    return sorted({max(1, int(ordered[int(len(ordered) * r)]) + 1) for r in rates}) if len(ordered) else [1]
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
+    thresholds: list[int]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -69,10 +85,12 @@ class Scorer:
         return np.array([len(plain(w)) - len(marked(w)) for w in own], dtype=np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
-        """Windows and share of windows at each threshold, the largest saving, the mean saving and the number of windows."""
-        saved = self.saved(text)
+        """Windows and share of windows that reach each threshold, the largest saving, the mean saving and the number of windows."""
+        return self.features_of(self.saved(text))
+
+    def features_of(self, saved: np.ndarray) -> np.ndarray:
         n = max(1, len(saved))
-        over = np.array([(saved >= t).sum() for t in STEPS], dtype=float)
+        over = np.array([(saved >= t).sum() for t in self.model.thresholds], dtype=float)
         top = np.sort(saved)[-3:]
         return np.concatenate([np.log1p(over), np.sqrt(over / n), [top[-1] if len(top) else 0, top.mean() if len(top) else 0, saved.clip(0).sum() / n, np.log1p(len(saved))]])
 
@@ -82,11 +100,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -40, 40)))
 
 
-def telling_pieces(toxic: list[str], ordinary: list[str], ratio: float = 12.0, least: float = 0.02) -> list[bytes]:
-    """Training samples of the toxic dictionary: words in a share ``least`` of the distinct toxic texts and ``ratio`` times as common there, as often as they occur."""
+def telling_pieces(toxic: list[str], ordinary: list[str], ratio: float = 12.0, least: float = 0.02, letters: int = 4) -> list[bytes]:
+    """Training samples of the toxic dictionary, four words each: the words of ``letters`` bytes at least that stand in a share
+    ``least`` of the distinct toxic texts (three at least) and are ``ratio`` times as common there, as often as they occur."""
     own, other = (Counter(w for t in dict.fromkeys(texts) for w in set(_words(t))) for texts in (toxic, ordinary))
     n, m = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-    chosen = sorted((w, c) for w, c in own.items() if c >= max(3, least * n) and len(w) >= 4 and c / n > ratio * (other[w] + 0.5) / m)
+    chosen = sorted((w, c) for w, c in own.items() if c >= max(3, least * n) and len(w) >= letters and c / n > ratio * (other[w] + 0.5) / m)
     spread = [b" %b " % w for w, c in chosen for _ in range(c)]
     order = np.random.default_rng(3).permutation(len(spread))
     return [b"".join(spread[i] for i in order[at : at + 4]) for at in range(0, len(order), 4)]
@@ -106,17 +125,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0
 
 
 def train(toxic: list[str], ordinary: list[str], sizes: tuple[int, int] = (4096, 8192)) -> Model:
-    """Dictionaries from two thirds of the texts, thresholds' weights from the rest."""
+    """Dictionaries (of ``sizes`` bytes, toxic and ordinary) from two thirds of the texts, thresholds and their weights from the rest."""
     parts = [([t for i, t in enumerate(texts) if i % 3], texts[::3]) for texts in (toxic, ordinary)]
     (toxic_words, toxic_fit), (plain_words, plain_fit) = parts
-    rng = np.random.default_rng(5)
     own = list(dict.fromkeys(w for t in plain_words for w in windows(t)))
-    own = [own[i] for i in rng.permutation(len(own))[:30_000]]
-    k = 3 * len(STEPS)
-    model = Model(train_dictionary(sizes[1], own, 16), train_dictionary(sizes[0], telling_pieces(toxic_words, plain_words), 32), np.zeros(0), np.ones(0), np.zeros(k), 0.0)
+    model = Model(train_dictionary(sizes[1], own, 16), train_dictionary(sizes[0], telling_pieces(toxic_words, plain_words), 32), [1], np.zeros(0), np.ones(0), np.zeros(0), 0.0)
     scorer = Scorer(model)
-    texts = toxic_fit + plain_fit
-    x = np.array([scorer.features(t) for t in texts])
+    toxic_saved, plain_saved = ([scorer.saved(t) for t in texts] for texts in (toxic_fit, plain_fit))
+    model.thresholds = calibrate(np.concatenate([np.zeros(0, dtype=np.int64), *plain_saved]))
+    x = np.array([scorer.features_of(s) for s in toxic_saved + plain_saved])
     y = np.array([1.0] * len(toxic_fit) + [0.0] * len(plain_fit))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights, model.bias = _logistic((x - model.mean) / model.scale, y)
@@ -150,7 +167,11 @@ _KEPT: dict[str, Scorer | None] = {}
 
 
 def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0) -> DataFrame:
-    """doc_id, held_out, score and predicted of every whole text. Null and empty texts have no window and score as such; without a model every score is 0."""
+    """doc_id, held_out, score and predicted of every whole text.
+
+    Null and empty texts have no window and score as such; without a model every score is 0. A null doc_id is carried and
+    never held out; repeated rows return repeated rows; an empty table gives none; other columns are ignored.
+    """
     import uuid
 
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex

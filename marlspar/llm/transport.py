@@ -114,29 +114,83 @@ class StreamError(ValueError):
     """A transport stream that breaks the format."""
 
 
-def _read_section(packet: np.ndarray, table_id: int) -> bytes:
-    data = packet.tobytes()
-    if not data[1] & 0x40:
-        raise StreamError("a program table doesn't start in its packet")
-    at = 5 + data[4]
-    if data[at] != table_id:
+def _payload_packets(rows: np.ndarray, what: str) -> np.ndarray:
+    """Positions of the packets with payload, each once: the format lets a packet be sent twice, and packets that only
+    carry an adaptation field stand outside the counting. Any other step of the continuity counter is an error."""
+    own = np.flatnonzero(rows[:, 3] & 0x10)
+    if not len(own):
+        return own
+    counters = rows[own, 3].astype(np.int16) & 15
+    step = np.diff(counters) % 16
+    twice = np.concatenate([[False], (step == 0) & (rows[own[1:]] == rows[own[:-1]]).all(axis=1)])
+    if (step[~twice[1:]] != 1).any() or (twice[1:] & twice[:-1]).any():
+        raise StreamError(f"continuity counter of {what} jumps: packets are lost or out of order")
+    return own[~twice]
+
+
+def _payload_starts(rows: np.ndarray) -> np.ndarray:
+    begin = np.where(rows[:, 3] & 0x20, 5 + rows[:, 4].astype(np.int64), 4)
+    if (begin > PACKET).any():
+        raise StreamError("an adaptation field goes beyond its packet")
+    return begin
+
+
+def _checked(section: bytes, table_id: int) -> bytes:
+    """A section's body, from its last fixed field to its CRC."""
+    if section[0] != table_id:
         raise StreamError("another table in its place")
-    size = 3 + (struct.unpack_from(">H", data, at + 1)[0] & 0x0FFF)
-    section = data[at : at + size]
-    if len(section) != size or section_crc(section):
+    if section_crc(section):
         raise StreamError("a program table's CRC differs")
     return section[8:-4]
 
 
-def _continuous(counters: np.ndarray, what: str) -> None:
-    if len(counters) > 1 and (np.diff(counters.astype(np.int16)) % 16 != 1).any():
-        raise StreamError(f"continuity counter of {what} jumps: packets are lost or out of order")
+def read_tables(rows: np.ndarray, table_id: int, what: str) -> bytes:
+    """The body of a PID's table. Every section is read, over as many packets as it takes, and all must be the same."""
+    if not len(rows):
+        raise StreamError("a program table is missing")
+    rows = rows[_payload_packets(rows, what)]
+    begin, first = _payload_starts(rows), (rows[:, 1] & 0x40) > 0
+    if not len(rows) or not first[0]:
+        raise StreamError("a program table doesn't start in its packet")
+    heads = np.flatnonzero(first)
+    sections = set()
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)], strict=True):
+        data = b"".join(rows[i, begin[i] :].tobytes() for i in range(a, b))
+        data = data[1 + data[0] :] if data else b""
+        size = 3 + (struct.unpack_from(">H", data, 1)[0] & 0x0FFF) if len(data) > 2 else 0
+        if not 12 <= size <= len(data):
+            raise StreamError("a program table isn't whole")
+        sections.add(data[:size])
+    if len(bodies := {_checked(x, table_id) for x in sections}) != 1:
+        raise StreamError("program tables differ")
+    return bodies.pop()
+
+
+def first_program(pat: bytes) -> int:
+    """PID of the first program's map; program 0 names the network instead."""
+    for at in range(0, len(pat) - 3, 4):
+        program, pid = struct.unpack_from(">HH", pat, at)
+        if program:
+            return pid & 0x1FFF
+    raise StreamError("no program")
+
+
+def private_stream(pmt: bytes) -> int:
+    """PID of the first elementary stream with private data; descriptors of program and streams are passed over."""
+    at = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0x0FFF)
+    while at + 5 <= len(pmt):
+        kind, pid, more = struct.unpack_from(">BHH", pmt, at)
+        if kind == STREAM_TYPE:
+            return pid & 0x1FFF
+        at += 5 + (more & 0x0FFF)
+    raise StreamError("no program with private data")
 
 
 def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]]]:
     """The elementary stream, and (timestamp, packet, byte of the payload, random access) of each PES packet.
 
-    The elementary PID is found by way of PAT and PMT. Sync bytes, CRCs, continuity, PES lengths and timestamps are checked.
+    The elementary PID is found by way of PAT and PMT. Sync bytes, CRCs of all tables, continuity, PES lengths and timestamps
+    are checked. Other programs and streams, packets sent twice and packets without payload are passed over.
     """
     if not stream or len(stream) % PACKET:
         raise StreamError("not whole transport packets")
@@ -144,26 +198,13 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]]]:
     if (rows[:, 0] != SYNC).any():
         raise StreamError("sync byte lost")
     pid = (rows[:, 1].astype(np.uint16) & 0x1F) << 8 | rows[:, 2]
-
-    def table(of: int, table_id: int) -> bytes:
-        at = np.flatnonzero(pid == of)
-        if not len(at):
-            raise StreamError("a program table is missing")
-        _continuous(rows[at, 3] & 15, f"PID {of}")
-        found = {_read_section(rows[i], table_id) for i in at} if len(at) < 3 else {_read_section(r, table_id) for r in (rows[at[0]], rows[at[-1]])}
-        if len(found) != 1:
-            raise StreamError("program tables differ")
-        return found.pop()
-
-    program, pmt_pid = struct.unpack_from(">HH", table(PAT_PID, 0))
-    kind, es_pid = struct.unpack_from(">BH", table(pmt_pid & 0x1FFF, 2), 4)
-    if program != 1 or kind != STREAM_TYPE:
-        raise StreamError("no program with private data")
-    where = np.flatnonzero(pid == es_pid & 0x1FFF)
+    pmt_pid = first_program(read_tables(rows[pid == PAT_PID], 0, "PID 0"))
+    es_pid = private_stream(read_tables(rows[pid == pmt_pid], 2, f"PID {pmt_pid}"))
+    where = np.flatnonzero(pid == es_pid)
+    where = where[_payload_packets(rows[where], "the elementary stream")]
     own = rows[where]
-    _continuous(own[:, 3] & 15, "the elementary stream")
+    begin = _payload_starts(own)
     adapted = (own[:, 3] & 0x20) > 0
-    begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
     starts = np.flatnonzero(own[:, 1] & 0x40)
     if not len(starts) or starts[0]:
         raise StreamError("the stream doesn't start with a PES packet")
@@ -197,6 +238,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, str]:
     """Mux every text (null: empty; UTF-8, zero-padded to a positive multiple of 64) and write the streams as a table.
 
     Columns: doc_id, n_bytes, media, points (timestamps with random-access points). Returns the table reread, and its path.
+    A null doc_id is carried, repeated rows are stored as often, an empty table gives an empty one; other columns are ignored.
     """
     import pyarrow as pa
 
@@ -208,7 +250,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, str]:
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode()
                 media = mux(pad(raw))
-                rows.append((len(raw), media, [dict(zip(("pts", "packet", "offset", "random_access"), x, strict=True)) for x in demux(media)[1]] if len(raw) > UNIT else [{"pts": 0, "packet": 2, "offset": 0, "random_access": True}]))
+                rows.append((len(raw), media, [dict(zip(("pts", "packet", "offset", "random_access"), x, strict=True)) for x in demux(media)[1]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], point)], ["doc_id", "n_bytes", "media", "points"])
 
     spark = docs.sparkSession

@@ -114,3 +114,47 @@ def test_windows_cover_whole_texts():
     text = " ".join(map(str, range(1003)))
     assert b" ".join(w.strip() for w in toxicity.windows(text)).split() == text.encode().split()
     assert toxicity.windows(None) == toxicity.windows("") == []
+
+
+def labelled_texts(seed=9, n=120):
+    rng = random.Random(seed)
+    plain = [text_in(rng, "en", 60) for _ in range(2 * n)]
+    toxic = []
+    for _ in range(n):
+        words = text_in(rng, "en", 60).split()
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(["grumpled", "snarkish", "bleakfoul"]))
+        toxic.append(" ".join(words))
+    return toxic, plain
+
+
+def test_saved_bytes_and_thresholds_against_brute_force():
+    import zstandard
+
+    toxic, plain = labelled_texts()
+    model = toxicity.train(toxic, plain)
+
+    def length(content, window):
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(window)
+        assert zstandard.ZstdDecompressor(dict_data=known).decompress(data, max_output_size=1000) == window
+        return len(data)
+
+    scorer = toxicity.Scorer(model)
+    for text in (toxic[0], plain[0], "one", "", None):
+        words = (text or "").lower().encode().split()
+        cut = [b" " + b" ".join(words[i : i + 5]) + b" " for i in range(0, len(words), 5)]
+        want = [length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in cut]
+        assert scorer.saved(text).tolist() == want
+        over = [sum(x >= t for x in want) for t in model.thresholds]
+        assert np.allclose(scorer.features(text)[: len(over)], np.log1p(over))
+    held = np.concatenate([scorer.saved(t) for t in plain[::3]])
+    for rate, least in zip(sorted(toxicity.RATES, reverse=True), (toxicity.calibrate(held, (r,))[0] for r in sorted(toxicity.RATES, reverse=True)), strict=True):
+        assert least in model.thresholds and (held >= least).mean() <= rate
+    fresh_toxic, fresh_plain = labelled_texts(10, 40)
+    assert scorer.score(fresh_toxic).mean() > 0.8 and scorer.score(fresh_plain).mean() < 0.2
+
+
+def test_dictionaries_of_few_samples():
+    few = toxicity.train_dictionary(4096, [b" grumpled words here "], 16)
+    assert b"grumpled" in few and toxicity.train_dictionary(4096, [], 16) == b""

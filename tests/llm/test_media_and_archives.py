@@ -37,6 +37,51 @@ def test_damage_is_noticed():
             ts.demux(bad)
 
 
+def packets(stream):
+    return [stream[i : i + ts.PACKET] for i in range(0, len(stream), ts.PACKET)]
+
+
+def test_every_table_is_read():
+    """Five random-access points, so five PATs and PMTs; damage in any of them is noticed."""
+    stream = packets(ts.mux(bytes(5 * ts.RANDOM_EVERY * ts.UNIT)))
+    for pid in (ts.PAT_PID, ts.PMT_PID):
+        where = [i for i, x in enumerate(stream) if (x[1] & 0x1F) << 8 | x[2] == pid]
+        assert len(where) == 5
+        for i in where:
+            bad = stream[i][:15] + bytes([stream[i][15] ^ 1]) + stream[i][16:]
+            with pytest.raises(ts.StreamError):
+                ts.demux(b"".join([*stream[:i], bad, *stream[i + 1 :]]))
+
+
+def section_packets(pid, section):
+    """A section over as many packets as it takes, counted from 0."""
+    data, out = b"\0" + section, []
+    for k, at in enumerate(range(0, len(data), ts.BODY)):
+        head = bytes([ts.SYNC, (0x40 if not k else 0) | pid >> 8, pid & 0xFF, 0x10 | k & 15])
+        out.append(head + data[at : at + ts.BODY].ljust(ts.BODY, b"\xff"))
+    return out
+
+
+def test_streams_of_other_muxers():
+    payload = ts.pad(bytes(i * 7 % 251 for i in range(5000)))
+    stream = packets(ts.mux(payload))
+    body = [x for x in stream if (x[1] & 0x1F) << 8 | x[2] == ts.DATA_PID]
+    network = (0).to_bytes(2, "big") + (0xE010).to_bytes(2, "big")
+    programs = b"".join(n.to_bytes(2, "big") + (0xE000 | (ts.PMT_PID if n == 1 else 0x300 + n)).to_bytes(2, "big") for n in range(1, 80))
+    about = bytes([5, 4]) + b"TEXT"
+    video = bytes([0x1B]) + (0xE200).to_bytes(2, "big") + (0xF000 | len(about)).to_bytes(2, "big") + about
+    ours = bytes([ts.STREAM_TYPE]) + (0xE000 | ts.DATA_PID).to_bytes(2, "big") + (0xF000 | len(about)).to_bytes(2, "big") + about
+    pmt = (0xE100).to_bytes(2, "big") + (0xF000 | len(about)).to_bytes(2, "big") + about + video + ours
+    pat = section_packets(ts.PAT_PID, ts._section(0, 1, network + programs))
+    assert len(pat) == 2
+    empty = bytes([ts.SYNC, ts.DATA_PID >> 8, ts.DATA_PID & 0xFF, 0x20 | body[0][3] & 15, 183, 0]).ljust(ts.PACKET, b"\xff")
+    other = bytes([ts.SYNC, 0x42, 0, 0x17]).ljust(ts.PACKET, b"\x01")
+    mixed = [*pat, *section_packets(ts.PMT_PID, ts._section(2, 1, pmt)), body[0], empty, other, body[1], body[1], *body[2:]]
+    assert ts.demux(b"".join(mixed))[0] == payload
+    with pytest.raises(ts.StreamError):
+        ts.demux(b"".join([*mixed[:4], body[0], *mixed[4:7], body[1], *mixed[7:]]))  # a packet three times
+
+
 def test_section_crc_is_the_standard_one():
     assert ts.section_crc(b"123456789") == 0x0376E6E7
 
