@@ -17,10 +17,10 @@ LG_REGISTERS = 12
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with anything but spaces: doc_id, text_key, site, pos and a 128-bit hash (h1, h2) of the line."""
+    """A row for each line with anything but spaces: doc_id, text_key, site, pos and two independent 64-bit hashes (h1, h2) of the line."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.trim("line") != "").select("doc_id", "text_key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return lines.filter(F.trim("line") != "").select("doc_id", "text_key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.1) -> DataFrame:
