@@ -5,7 +5,8 @@ All are column expressions; only WKB geometry needs Python (see ``geo``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +47,17 @@ def timestamp_millis_only(c: Column) -> Column:
 
 @dataclass
 class Leaf:
-    """A top-level column's Spark read type and what its footer annotation says."""
+    """A column or a field below one: its Spark read type, what its footer annotation says, and the fields below it.
+
+    ``shape`` is value, struct, list, map or variant; a list has its element below it, a map its key and value.
+    """
 
     name: str
     kind: T.DataType
     annotation: str
     physical: str
+    shape: str = "value"
+    below: list[Leaf] = field(default_factory=list)
 
 
 _PHYSICAL = {"BOOLEAN": T.BooleanType(), "INT32": T.IntegerType(), "INT64": T.LongType(), "INT96": T.TimestampType(), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(), "BINARY": T.BinaryType(), "FIXED_LEN_BYTE_ARRAY": T.BinaryType()}
@@ -76,57 +82,88 @@ def _primitive(physical: str, note: str) -> T.DataType:
     return _PHYSICAL[physical]
 
 
-def spark_type(field) -> T.DataType:
-    """Spark type of a JVM Parquet schema field, its repetition aside."""
-    note = field.getLogicalTypeAnnotation()
+def _element(f) -> Leaf:
+    """A JVM Parquet schema field, its repetition aside."""
+    note = f.getLogicalTypeAnnotation()
     note = "" if note is None else note.toString()
-    if field.isPrimitive():
-        return _primitive(field.getPrimitiveTypeName().toString(), note)
-    group = field.asGroupType()
+    if f.isPrimitive():
+        physical = f.getPrimitiveTypeName().toString()
+        return Leaf(f.getName(), _primitive(physical, note), note, physical)
+    group = f.asGroupType()
     children = [group.getType(i) for i in range(group.getFieldCount())]
+    if note.startswith("VARIANT"):  # plain or shredded: Spark puts the parts together
+        return Leaf(f.getName(), T.VariantType(), note, "GROUP", "variant")
     if note == "LIST" and len(children) == 1:
         repeated = children[0]
-        if not repeated.isPrimitive() and repeated.asGroupType().getFieldCount() == 1 and repeated.getName() not in ("array", f"{group.getName()}_tuple"):
-            return T.ArrayType(_repeated(repeated.asGroupType().getType(0)))
-        return T.ArrayType(spark_type(repeated))
+        wrapped = not repeated.isPrimitive() and repeated.asGroupType().getFieldCount() == 1 and repeated.getName() not in ("array", f"{group.getName()}_tuple")
+        inner = _repeated(repeated.asGroupType().getType(0)) if wrapped else _element(repeated)
+        return Leaf(f.getName(), T.ArrayType(inner.kind), note, "GROUP", "list", [inner])
     if note in ("MAP", "MAP_KEY_VALUE") and len(children) == 1:
         pair = children[0].asGroupType()
-        return T.MapType(spark_type(pair.getType(0)), _repeated(pair.getType(1)))
-    return T.StructType([T.StructField(c.getName(), _repeated(c)) for c in children])
+        key, value = _element(pair.getType(0)), _repeated(pair.getType(1))
+        return Leaf(f.getName(), T.MapType(key.kind, value.kind), note, "GROUP", "map", [key, value])
+    parts = [_repeated(c) for c in children]
+    return Leaf(f.getName(), T.StructType([T.StructField(x.name, x.kind) for x in parts]), note, "GROUP", "struct", parts)
 
 
-def _repeated(field) -> T.DataType:
-    kind = spark_type(field)
-    return T.ArrayType(kind) if field.getRepetition().toString() == "REPEATED" else kind
+def _repeated(f) -> Leaf:
+    own = _element(f)
+    return Leaf(own.name, T.ArrayType(own.kind), "", "GROUP", "list", [own]) if f.getRepetition().toString() == "REPEATED" else own
 
 
 def leaves(schema) -> list[Leaf]:
     """Top-level columns of a JVM Parquet message type."""
-    out = []
-    for i in range(schema.getFieldCount()):
-        f = schema.getType(i)
-        note = f.getLogicalTypeAnnotation()
-        out.append(Leaf(f.getName(), _repeated(f), "" if note is None else note.toString(), f.getPrimitiveTypeName().toString() if f.isPrimitive() else "GROUP"))
-    return out
+    return [_repeated(schema.getType(i)) for i in range(schema.getFieldCount())]
 
 
 def needs_schema(parts: list[Leaf]) -> bool:
-    """Whether Spark would refuse to infer the schema."""
-    return any(x.annotation in ("UUID", "FLOAT16") or x.annotation.startswith("TIME(") or "NANOS" in x.annotation for x in parts)
+    """Whether Spark would refuse to infer the schema, for a type at any depth."""
+    return any(x.annotation in ("UUID", "FLOAT16") or x.annotation.startswith("TIME(") or "NANOS" in x.annotation or needs_schema(x.below) for x in parts)
 
 
 def read_schema(parts: list[Leaf]) -> T.StructType:
     return T.StructType([T.StructField(x.name, x.kind) for x in parts])
 
 
+def decoded(leaf: Leaf, column: Column, value: Callable[[Leaf, Column, bool], Column | None], inside: bool = False) -> Column | None:
+    """``column`` with ``value`` applied to every leaf at any depth; None where no leaf changes, so that nothing is rebuilt in vain.
+
+    ``inside`` tells ``value`` that the leaf is below a list or map, where no Python can run.
+    """
+    if leaf.shape in ("value", "variant"):
+        return value(leaf, column, inside)
+    if leaf.shape == "struct":
+        parts = [(x.name, decoded(x, column.getField(x.name), value, inside)) for x in leaf.below]
+        if all(new is None for _, new in parts):
+            return None
+        whole = F.struct(*[(column.getField(n) if new is None else new).alias(n) for n, new in parts])
+        return F.when(column.isNotNull(), whole)
+    changed: list[bool] = []
+
+    def inner(x: Leaf) -> Callable[[Column], Column]:
+        def one(c: Column) -> Column:
+            new = decoded(x, c, value, True)
+            changed.append(new is not None)
+            return c if new is None else new
+
+        return one
+
+    if leaf.shape == "list":
+        out = F.transform(column, inner(leaf.below[0]))
+    else:
+        key, val = map(inner, leaf.below)
+        out = F.map_from_arrays(F.transform(F.map_keys(column), key), F.transform(F.map_values(column), val))
+    return out if any(changed) else None
+
+
 #: Names of the parser hooks and the leaves that they take.
 HOOKS = ("uuid", "float16", "nanos", "json", "date", "timestamp", "string", "geometry", "geography", "decimal")
 
 
-def hook_of(leaf: Leaf, geo: dict[str, str]) -> str | None:
-    """The hook that decodes a top-level leaf."""
+def hook_of(leaf: Leaf, geo: dict[str, str] | None = None) -> str | None:
+    """The hook that decodes a leaf; ``geo`` names top-level columns that hold WKB without an annotation."""
     note = leaf.annotation
-    if leaf.name in geo:
+    if leaf.name in (geo or {}):
         return geo[leaf.name]
     if note.startswith(("GEOMETRY", "GEOGRAPHY")):
         return note.split("(")[0].lower()

@@ -8,7 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 # WKB geometry codes and their GeoJSON names.
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
@@ -61,7 +61,7 @@ def wkb_to_geojson(data: bytes | None) -> dict | None:
     return None if data is None else _read(_Cursor(bytes(data)))
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def _geojson_text(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else json.dumps(wkb_to_geojson(b), separators=(",", ":")))
 
@@ -71,6 +71,22 @@ def geojson(column: Column) -> Column:
     return _geojson_text(column)
 
 
+def geojson_lists(column: Column, kind: T.ArrayType) -> Column:
+    """GeoJSON texts of a column of WKB lists, at any depth of lists."""
+
+    def texts(value):
+        return None if value is None else json.dumps(wkb_to_geojson(value), separators=(",", ":")) if isinstance(value, (bytes, bytearray)) else [texts(v) for v in value]
+
+    def result(k: T.DataType) -> T.DataType:
+        return T.ArrayType(result(k.elementType)) if isinstance(k, T.ArrayType) else T.StringType()
+
+    @F.pandas_udf(result(kind))
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(texts)
+
+    return run(column)
+
+
 def geo_columns(key_values: dict[str, str]) -> dict[str, str]:
     """Columns that a GeoParquet footer declares as WKB: 'geometry', or 'geography' where edges are spherical."""
     try:

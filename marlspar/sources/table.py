@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import QueryError
 from ..functions import decode
-from ..functions.geo import geo_columns, geojson
+from ..functions.geo import geo_columns, geojson, geojson_lists
 from .arrow import arrow_frame, needs_arrow
 from .footer import Footer, list_files, read_footer
 from .ranges import ByteSource
@@ -38,8 +40,12 @@ class Options:
 
 
 def _spill(spark: SparkSession, data: bytes) -> str:
-    """Bytes as a file that all executors see, if a shared folder is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlspar-")
+    """Bytes as a file that all executors see: in the shared folder, or in a temporary one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise QueryError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="marlspar-")
     path = f"{folder.rstrip('/')}/source-{uuid.uuid4().hex}.parquet"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,9 +83,10 @@ class ParquetTable:
         """Rows of each file, from the footers."""
         return [self.footer.rows, *(read_footer(self.spark, f[0]).rows for f in self.files[1:])]
 
-    def _decoded(self, leaf: decode.Leaf) -> Column:
-        c, own = F.col(f"`{leaf.name}`"), self.options.parsers
-        hook = decode.hook_of(leaf, self.geo)
+    def _value(self, leaf: decode.Leaf, c: Column, inside: bool = False, geo: dict[str, str] | None = None) -> Column | None:
+        """A leaf decoded, or None where it stays as Spark reads it, as WKB does in structs within lists or maps."""
+        own = self.options.parsers
+        hook = decode.hook_of(leaf, geo)
         if hook in own:
             return own[hook](c)
         if hook == "uuid":
@@ -90,7 +97,7 @@ class ParquetTable:
             return decode.nanos_timestamp(c, leaf.annotation.endswith("true)"))
         if hook == "json" and self.options.json:
             return decode.json_value(c)
-        if hook in ("geometry", "geography"):
+        if hook in ("geometry", "geography") and not inside:
             return geojson(c)
         if hook == "string" and self.options.utf8:
             return c.cast("string")
@@ -98,7 +105,25 @@ class ParquetTable:
             return c.cast("double")
         if self.options.millis and isinstance(leaf.kind, T.TimestampType):
             return decode.timestamp_millis_only(c)
-        return c
+        return None
+
+    def _decoded(self, leaf: decode.Leaf) -> Column:
+        """A column with the leaves at every depth decoded."""
+        c = F.col(f"`{leaf.name}`")
+        if leaf.shape == "value":
+            new = self._value(leaf, c, geo=self.geo)
+        elif leaf.shape == "list" and self._holds_geometry(leaf):
+            new = geojson_lists(c, leaf.kind)
+        else:
+            new = decode.decoded(leaf, c, self._value)
+        return c if new is None else new
+
+    def _holds_geometry(self, leaf: decode.Leaf) -> bool:
+        """Whether lists alone stand between a column and WKB; Python, which reads WKB, takes such a column whole."""
+        while leaf.shape == "list":
+            leaf = leaf.below[0]
+        hook = decode.hook_of(leaf)
+        return leaf.shape == "value" and hook in ("geometry", "geography") and hook not in self.options.parsers
 
     def frame(self, positions: bool = False) -> DataFrame:
         """All columns decoded; with ``positions`` also each row's place over all files in path order."""
