@@ -9,7 +9,10 @@ from __future__ import annotations
 import json
 import struct
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta, timezone
+from decimal import Context, Decimal
 from functools import lru_cache
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,11 +108,48 @@ def check_magic(spark: SparkSession, path: str) -> None:
         raise FormatError(f"parquet metadata length {length} exceeds available buffer {size - 8}")
 
 
-def _value(stats, which: str):
+def typed(value, physical: str, note: str):
+    """A statistic in its column's type: texts, dates, UTC or local times, decimals, unsigned numbers; what has no such type stays as stored."""
+    if value is None or note == "":
+        return value
+    if isinstance(value, bytes):
+        if note in ("STRING", "ENUM", "JSON"):
+            return value.decode("utf-8", "replace")
+        if note == "UUID" and len(value) == 16:
+            return str(UUID(bytes=value))
+        if note == "FLOAT16" and len(value) == 2:
+            return struct.unpack("<e", value)[0]
+    if note.startswith("DECIMAL("):
+        unscaled = int.from_bytes(value, "big", signed=True) if isinstance(value, bytes) else value
+        return Decimal(unscaled).scaleb(-int(note[8:-1].split(",")[1]), Context(prec=60))
+    if isinstance(value, int) and not isinstance(value, bool):
+        if note == "DATE":
+            return _moment(timedelta(days=value), lambda t: t.date())
+        if note.startswith("TIMESTAMP("):
+            unit = note[10:-1].split(",")[0]
+            micros = {"MILLIS": value * 1000, "MICROS": value, "NANOS": value // 1000}[unit]
+            return _moment(timedelta(microseconds=micros), (lambda t: t.replace(tzinfo=timezone.utc)) if note.endswith("true)") else (lambda t: t))
+        if note.startswith("INTEGER(") and note.endswith("false)"):
+            return value & ((1 << (64 if physical == "INT64" else 32)) - 1)
+    return value
+
+
+def _moment(since: timedelta, form):
+    """A time after the epoch; None beyond what Python's calendar holds."""
+    try:
+        return form(datetime(1970, 1, 1) + since)
+    except OverflowError:
+        return None
+
+
+def _value(stats, which: str, physical: str, note: str):
     if stats is None or not stats.hasNonNullValue():
         return None
     v = stats.genericGetMin() if which == "min" else stats.genericGetMax()
-    return bytes(v.getBytes()) if hasattr(v, "getBytes") else v
+    try:
+        return typed(bytes(v.getBytes()) if hasattr(v, "getBytes") else v, physical, note)
+    except OverflowError:
+        return None
 
 
 def read_footer(spark: SparkSession, path: str) -> Footer:
@@ -135,7 +175,8 @@ def _read_footer(spark: SparkSession, path: str, size: int, changed: int) -> Foo
                 kind, stats = c.getPrimitiveType(), c.getStatistics()
                 note = kind.getLogicalTypeAnnotation()
                 bloom, dictionary = c.getBloomFilterOffset(), c.getDictionaryPageOffset()
-                chunks.append(Chunk(c.getPath().toDotString(), kind.getPrimitiveTypeName().toString(), "" if note is None else note.toString(), c.getCodec().toString(), sorted(e.toString() for e in c.getEncodings()), c.getValueCount(), c.getTotalSize(), c.getTotalUncompressedSize(), c.getFirstDataPageOffset(), dictionary or None, bloom if bloom >= 0 else None, stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None, _value(stats, "min"), _value(stats, "max")))
+                physical, said = kind.getPrimitiveTypeName().toString(), "" if note is None else note.toString()
+                chunks.append(Chunk(c.getPath().toDotString(), physical, said, c.getCodec().toString(), sorted(e.toString() for e in c.getEncodings()), c.getValueCount(), c.getTotalSize(), c.getTotalUncompressedSize(), c.getFirstDataPageOffset(), dictionary or None, bloom if bloom >= 0 else None, stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None, _value(stats, "min", physical, said), _value(stats, "max", physical, said)))
             groups.append(Group(block.getRowCount(), block.getTotalByteSize(), first, chunks))
             first += block.getRowCount()
         kv = {e.getKey(): e.getValue() for e in about.getKeyValueMetaData().entrySet()}
@@ -218,12 +259,27 @@ def _buffer(b) -> bytes:
     return bytes(view.get() & 0xFF for _ in range(view.remaining()))
 
 
-def _plain_bytes(value, physical: str) -> bytes | None:
-    """A value as the format's plain encoding, which bloom filters hash; None for types that have no one encoding of it."""
+def _plain_bytes(value, physical: str, note: str = "") -> bytes | None:
+    """A value as the format's plain encoding, which bloom filters hash; None where the column's type cannot hold it exactly."""
+    if isinstance(value, bool) or not isinstance(value, (bytes, bytearray)) and note not in ("", "STRING", "ENUM", "JSON") and not note.startswith("INTEGER("):
+        return None
+    if physical == "FIXED_LEN_BYTE_ARRAY" and isinstance(value, str):
+        return None
     if physical in ("BINARY", "FIXED_LEN_BYTE_ARRAY"):
-        return value.encode() if isinstance(value, str) else bytes(value)
+        return value.encode() if isinstance(value, str) else bytes(value) if isinstance(value, (bytes, bytearray)) else None
     form = {"INT32": "<i", "INT64": "<q", "FLOAT": "<f", "DOUBLE": "<d"}.get(physical)
-    return form and struct.pack(form, value)
+    if form is None or not isinstance(value, (int, float)):
+        return None
+    if physical.startswith("INT"):
+        bits = 31 if physical == "INT32" else 63
+        if value != value or value in (float("inf"), float("-inf")) or value != int(value) or not -(1 << bits) <= value < 1 << bits:
+            return None
+        return struct.pack(form, int(value))
+    try:
+        data = struct.pack(form, value)
+    except OverflowError:
+        return None
+    return data if value and struct.unpack(form, data)[0] == value else None  # zero has two encodings
 
 
 def bloom_might_contain(spark: SparkSession, path: str, column: str, value) -> list[bool | None]:
@@ -240,7 +296,9 @@ def bloom_might_contain(spark: SparkSession, path: str, column: str, value) -> l
             if bloom is None:
                 out.append(None)
                 continue
-            data = _plain_bytes(value, chunk.getPrimitiveType().getPrimitiveTypeName().toString())
+            kind = chunk.getPrimitiveType()
+            note = kind.getLogicalTypeAnnotation()
+            data = _plain_bytes(value, kind.getPrimitiveTypeName().toString(), "" if note is None else note.toString())
             if data is None:
                 out.append(None)
                 continue
