@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, compress, count
 
 import numpy as np
 
@@ -42,7 +42,7 @@ class PieceEncoder:
     #: Pieces that go to the tokenizer as one text.
     JOINED = 4096
 
-    def __init__(self, tokenizer_path: str, cache_chars: int = 20_000_000):
+    def __init__(self, tokenizer_path: str, cache_chars: int = 14_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,20 +68,19 @@ class PieceEncoder:
 
         What stays counts as used once, so a piece stays as long as it returns between two trims.
         """
-        known = [(piece, code, table) for table in (self.spaced, self.bare) for piece, code in table.items()]
-        codes = np.fromiter((x[1] for x in known), dtype=np.int64, count=len(known))
-        weight = np.fromiter((len(x[0]) + 12 for x in known), dtype=np.int64, count=len(known))
-        uses, least = self.uses[codes], 2
-        while weight[uses >= least].sum() > self.cache_chars // 2:
+        tables = self.spaced, self.bare
+        codes = [np.fromiter(t.values(), dtype=np.int64, count=len(t)) for t in tables]
+        weight = [np.fromiter(map(len, t), dtype=np.int64, count=len(t)) + 12 for t in tables]
+        uses, least = [self.uses[c] for c in codes], 2
+        while sum(int(w[u >= least].sum()) for w, u in zip(weight, uses, strict=True)) > self.cache_chars // 2:
             least *= 2
-        kept = np.flatnonzero(uses >= least)
-        old, flat, starts, sizes = codes[kept], self.flat, self.starts, self.sizes
-        was_spaced = [known[i][2] is self.spaced for i in kept.tolist()]
-        pieces = [known[i][0] for i in kept.tolist()]
+        kept = [u >= least for u in uses]
+        old, flat, starts, sizes = np.concatenate([c[k] for c, k in zip(codes, kept, strict=True)]), self.flat, self.starts, self.sizes
         self.reset()
-        for code, (piece, spaced) in enumerate(zip(pieces, was_spaced, strict=True)):
-            dict.__setitem__(self.spaced if spaced else self.bare, piece, code)
-        self.count, self.chars = len(pieces), int(weight[kept].sum())
+        for new, t, k in zip((self.spaced, self.bare), tables, kept, strict=True):
+            new.update(zip(compress(t, k), count(self.count), strict=False))
+            self.count += int(k.sum())
+        self.chars = sum(int(w[k].sum()) for w, k in zip(weight, kept, strict=True))
         n = sizes[old]
         self._put(np.arange(len(old)), flat[np.repeat(starts[old] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
         self.uses[: len(old)] = 1
