@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import ColumnNotFound, QueryError
 from ..sources.table import POSITION, ParquetTable
-from .filters import FLOATS, INTEGERS, compile_filter
+from .filters import FLOATS, INTEGERS, compile_filter, filter_columns
 
 INDEX = "__index__"
 
@@ -50,11 +51,15 @@ def _in_range(start: int, end: int | None) -> Column | None:
 
 
 def read(spark: SparkSession, source, columns: list[str] | None = None, filter: dict | None = None, filter_strict: bool = True, row_start: int = 0, row_end: int | None = None, row_format: str = "object", sql_nulls: bool = False, **options) -> DataFrame:
-    """Rows at positions [row_start, row_end) that match ``filter``. ``columns=[]`` keeps the rows without columns."""
+    """Rows at positions [row_start, row_end) that match ``filter``. ``columns=[]`` keeps the rows without columns.
+
+    Files without a row in the range are not opened; a range over a small part of its files leaves out row groups too.
+    """
     table = _table(spark, source, options)
     _check(table, filter, row_format)
     within = _in_range(row_start, row_end)
-    df = table.frame(positions=within is not None)
+    only = None if columns is None else [*columns, *filter_columns(filter)]
+    df = table.frame(positions=within is not None, within=(row_start, row_end), only=only)
     test = compile_filter(filter, df.schema, filter_strict, sql_nulls)
     if within is not None:
         df = df.where(within)
@@ -93,11 +98,24 @@ def sort_key(column: Column, kind: T.DataType) -> Column:
     return column.asc_nulls_last()
 
 
-def query(spark: SparkSession, source, filter: dict | None = None, order_by: str | None = None, row_start: int = 0, row_end: int | None = None, columns: list[str] | None = None, filter_strict: bool = True, sql_nulls: bool = False, **options) -> DataFrame:
+def _enough(table: ParquetTable, filter: dict, filter_strict: bool, sql_nulls: bool, wanted: int) -> tuple[int, int | None]:
+    """Positions of the first files that hold ``wanted`` matches; four times as many files at each try."""
+    ends = list(accumulate(table.row_counts()))
+    n = 1
+    while n < len(ends):
+        df = table.frame(within=(0, ends[n - 1]))
+        if df.where(compile_filter(filter, df.schema, filter_strict, sql_nulls)).limit(wanted).count() >= wanted:
+            return 0, ends[n - 1]
+        n *= 4
+    return 0, None
+
+
+def query(spark: SparkSession, source, filter: dict | None = None, order_by: str | None = None, row_start: int = 0, row_end: int | None = None, columns: list[str] | None = None, filter_strict: bool = True, sql_nulls: bool = False, early_stop: bool = False, **options) -> DataFrame:
     """Rows that match, in the order of ``order_by`` (ascending, ties by position), then the slice [row_start, row_end) of them.
 
     Ordering without a filter adds each row's position as ``__index__`` in front, unless the file has such a column. Ordered
-    and sliced results come in order; with a slice Spark keeps only row_end rows in each task.
+    and sliced results come in order; with a slice Spark keeps only row_end rows in each task. ``early_stop`` first counts
+    matches over growing runs of files and leaves out the files behind those that hold row_end of them.
     """
     if row_start < 0:
         raise QueryError("parquet rowStart must be positive")
@@ -107,7 +125,8 @@ def query(spark: SparkSession, source, filter: dict | None = None, order_by: str
     if order_by is None and not filter:
         return read(spark, table, columns, None, filter_strict, row_start, row_end)
     sliced = row_start > 0 or row_end is not None
-    df = table.frame(positions=sliced or order_by is not None)
+    within = _enough(table, filter, filter_strict, sql_nulls, row_end) if early_stop and order_by is None and row_end is not None else (0, None)
+    df = table.frame(positions=sliced or order_by is not None, within=within)
     test = compile_filter(filter, df.schema, filter_strict, sql_nulls)
     if test is not None:
         df = df.where(test)
@@ -131,7 +150,8 @@ def read_rows(spark: SparkSession, source, rows: Iterable[int], columns: list[st
     Up to ``inline`` positions go into the plan as literals; more are joined, and Spark broadcasts them if they are small.
     """
     table, rows = _table(spark, source, options), sorted(set(rows))
-    df = table.frame(positions=True)
+    within = (max(0, rows[0]), max(0, rows[-1] + 1)) if rows else (0, 0)
+    df = table.frame(positions=True, within=within, only=columns)
     if len(rows) <= inline:
         df = df.where(F.col(POSITION).isin(*rows)) if rows else df.where(F.lit(False))
     else:

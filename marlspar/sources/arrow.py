@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.decode import Leaf
 from .footer import Footer
+from .ranges import ByteSource, CachedSource, SourceFile
 
 #: Codecs without a class in Spark, and encodings that its vectorised reader refuses.
 CODECS, ENCODINGS = {"BROTLI"}, {"BYTE_STREAM_SPLIT"}
@@ -16,14 +17,19 @@ def needs_arrow(footer: Footer) -> bool:
     return any(c.codec in CODECS or ENCODINGS.intersection(c.encodings) for g in footer.groups for c in g.chunks)
 
 
-def arrow_frame(spark: SparkSession, footers: list[Footer], leaves: list[Leaf], position: str) -> DataFrame:
-    """Raw columns, typed as Spark would read them, with each row's position over all files; a task for some row groups each."""
+def arrow_frame(spark: SparkSession, footers: list[Footer], leaves: list[Leaf], position: str, within: tuple[int, int | None] = (0, None), starts: list[int] | None = None, remote: ByteSource | None = None) -> DataFrame:
+    """Raw columns, typed as Spark would read them, with each row's position over all files; a task for some row groups each.
+
+    Groups without a row in ``within`` are not opened. ``starts`` has the position of each footer's first row, where the
+    files before it are left out. ``remote`` is read by ranges in the place of the footers' files.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     names, kinds = [x.name for x in leaves], [to_arrow_type(x.kind) for x in leaves]
     groups, before = [], 0
-    for f in footers:
-        groups += [(f.path, i, before + g.first_row) for i, g in enumerate(f.groups)]
+    for k, f in enumerate(footers):
+        first = before if starts is None else starts[k]
+        groups += [(f.path, i, first + g.first_row) for i, g in enumerate(f.groups) if first + g.first_row + g.rows > within[0] and (within[1] is None or first + g.first_row < within[1])]
         before += f.rows
 
     def run(batches):
@@ -42,8 +48,12 @@ def arrow_frame(spark: SparkSession, footers: list[Footer], leaves: list[Leaf],
 
         for batch in batches:
             for path, group, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                store, local = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-                table = pq.ParquetFile(local, filesystem=store).read_row_group(group, columns=names)
+                if remote is not None:
+                    file = pq.ParquetFile(pa.PythonFile(SourceFile(CachedSource(remote)), mode="r"))
+                else:
+                    store, local = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                    file = pq.ParquetFile(local, filesystem=store)
+                table = file.read_row_group(group, columns=names)
                 arrays = [fit(table.column(n), k) for n, k in zip(names, kinds, strict=True)]
                 yield from pa.Table.from_arrays([*arrays, pa.array(range(first, first + table.num_rows), pa.int64())], names=[*names, position]).to_batches(max_chunksize=10_000)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import urllib.request
 from typing import Protocol
 
-from ..errors import QueryError
+from ..errors import FormatError, QueryError
 
 
 class ByteSource(Protocol):
@@ -105,3 +106,45 @@ class CachedSource:
         if key not in self._kept:
             self._kept[key] = self.source.slice(*key)
         return self._kept[key]
+
+
+class SourceFile(io.RawIOBase):
+    """A byte source as a seekable file, so that readers of files fetch the ranges that they need."""
+
+    def __init__(self, source: ByteSource):
+        self.source, self.at = source, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.source.size}[whence]
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        end = min(self.at + len(buffer), self.source.size)
+        data = self.source.slice(self.at, end) if end > self.at else b""
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def footer_only(source: ByteSource, guess: int = 512 * 1024) -> bytes:
+    """A Parquet file that has the footer of ``source`` and no data, from one range, or two where the footer is long."""
+    tail = source.slice(max(0, source.size - guess))
+    if source.size < 12:
+        raise FormatError("parquet file is too short")
+    if tail[-4:] != b"PAR1":
+        raise FormatError("parquet file invalid (footer != PAR1)")
+    length = int.from_bytes(tail[-8:-4], "little")
+    if length > source.size - 12:
+        raise FormatError(f"parquet metadata length {length} exceeds available buffer {source.size - 8}")
+    if length + 8 > len(tail):
+        tail = source.slice(source.size - length - 8)
+    return b"PAR1" + tail[-length - 8 :]

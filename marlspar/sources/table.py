@@ -17,12 +17,14 @@ from ..functions import decode
 from ..functions.geo import geo_columns, geojson, geojson_lists
 from .arrow import arrow_frame, needs_arrow
 from .footer import Footer, list_files, read_footer
-from .ranges import ByteSource
+from .ranges import ByteSource, UrlSource, footer_only
 
 #: Hidden column with a row's position.
 POSITION = "__position__"
 #: Tables of more files join their first rows by a shuffle.
 BROADCAST_FILES = 200_000
+#: Row ranges over more files don't look for row groups in their footers.
+FOOTERS = 64
 
 
 @dataclass
@@ -57,6 +59,15 @@ def _spill(spark: SparkSession, data: bytes) -> str:
     return path
 
 
+def _file() -> Column:
+    """The path of a row's file, as ``_plain_name`` writes it."""
+    return F.regexp_replace(F.try_url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:/+", "file:/")
+
+
+def _plain_name(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
 class ParquetTable:
     """``source``: a path of a file, folder or pattern, the bytes of a file, or a byte-range source."""
 
@@ -64,15 +75,24 @@ class ParquetTable:
         self.spark, self.options = spark, Options(**options)
         if isinstance(source, (bytes, bytearray, memoryview)):
             source = _spill(spark, bytes(source))
-        elif not isinstance(source, str):
+        self.remote: ByteSource | None = None
+        if not isinstance(source, str):
             if not hasattr(source, "slice"):
                 raise ValueError("parquet expected a path, bytes or a byte source")
-            source = _spill(spark, source.slice(0, source.size))
+            if isinstance(source, UrlSource):  # executors read the ranges that they need
+                self.remote, source = source, _spill(spark, footer_only(source))
+            else:
+                source = _spill(spark, source.slice(0, source.size))
         self.path = source
         self.files = list_files(spark, source)
         self.footer: Footer = read_footer(spark, self.files[0][0])
         self.leaves = decode.leaves(self.footer.schema)
-        self.by_arrow = needs_arrow(self.footer)
+        if self.remote is not None and not all(x.shape == "value" for x in self.leaves):
+            self.path, self.remote = _spill(spark, self.remote.slice(0, self.remote.size)), None
+            self.files = list_files(spark, self.path)
+            self.footer = read_footer(spark, self.path)
+        self.by_arrow = self.remote is not None or needs_arrow(self.footer)
+        self._rows: list[int] | None = None
         self.geo = geo_columns(self.footer.key_values) if self.options.geoparquet else {}
 
     @property
@@ -80,8 +100,15 @@ class ParquetTable:
         return [x.name for x in self.leaves]
 
     def row_counts(self) -> list[int]:
-        """Rows of each file, from the footers."""
-        return [self.footer.rows, *(read_footer(self.spark, f[0]).rows for f in self.files[1:])]
+        """Rows of each file, by a scan without columns: Spark's tasks take them from the footers. A single file's footer is at hand."""
+        if self._rows is None:
+            if len(self.files) == 1:
+                self._rows = [self.footer.rows]
+            else:
+                counted = self.spark.read.schema(T.StructType()).parquet(self.path).groupBy(_file()).count().collect()
+                rows = {r[0]: r[1] for r in counted}
+                self._rows = [rows.get(_plain_name(f[0]), 0) for f in self.files]
+        return self._rows
 
     def _value(self, leaf: decode.Leaf, c: Column, inside: bool = False, geo: dict[str, str] | None = None) -> Column | None:
         """A leaf decoded, or None where it stays as Spark reads it, as WKB does in structs within lists or maps."""
@@ -125,29 +152,46 @@ class ParquetTable:
         hook = decode.hook_of(leaf)
         return leaf.shape == "value" and hook in ("geometry", "geography") and hook not in self.options.parsers
 
-    def frame(self, positions: bool = False) -> DataFrame:
-        """All columns decoded; with ``positions`` also each row's place over all files in path order."""
-        if self.by_arrow:
-            footers = [self.footer, *(read_footer(self.spark, f[0]) for f in self.files[1:])]
-            raw = arrow_frame(self.spark, footers, self.leaves, POSITION)
-            return raw.select(*[self._decoded(x).alias(x.name) for x in self.leaves], *[POSITION] * positions)
+    def _overlapping(self, start: int, end: int | None) -> list[tuple[str, int, int]]:
+        """(path, first position, rows) of the files that hold rows in [start, end)."""
+        out, before = [], 0
+        for (path, _, _), rows in zip(self.files, self.row_counts(), strict=True):
+            if before + rows > start and (end is None or before < end):
+                out.append((path, before, rows))
+            before += rows
+        return out
+
+    def frame(self, positions: bool = False, within: tuple[int, int | None] | None = None, only: list[str] | None = None) -> DataFrame:
+        """Columns decoded; with ``positions`` also each row's place over all files in path order.
+
+        ``within`` promises that only rows at positions [start, end) matter: files beyond it are not opened, and where it
+        leaves out half of the rows of those it touches, neither are the row groups beyond it. ``only`` names the columns
+        that matter; all keep their place in the result where Spark reads, since its planner leaves out the rest itself.
+        """
+        narrow = within is not None and (within[0] > 0 or within[1] is not None)
+        if self.by_arrow or narrow and all(x.shape == "value" for x in self.leaves):
+            files = [(f[0], None, None) for f in self.files] if not narrow else self._overlapping(*within)
+            wanted = None if within is None or within[1] is None else within[1] - within[0]
+            if self.by_arrow or wanted is not None and len(files) <= FOOTERS and 2 * wanted <= sum(f[2] for f in files):
+                leaves = [x for x in self.leaves if only is None or x.name in only]
+                footers = [self.footer if f[0] == self.footer.path else read_footer(self.spark, f[0]) for f in files]
+                raw = arrow_frame(self.spark, footers, leaves, POSITION, within or (0, None), [f[1] for f in files] if narrow else None, self.remote)
+                return raw.select(*[self._decoded(x).alias(x.name) for x in leaves], *[POSITION] * positions)
         reader = self.spark.read.option("parquet.filter.bloom.enabled", self.options.bloom_filters).option("parquet.filter.columnindex.enabled", self.options.page_index)
         if decode.needs_schema(self.leaves):
             reader = reader.schema(decode.read_schema(self.leaves))
-        raw = reader.parquet(self.path)
+        starts = self._overlapping(*within) if narrow and len(self.files) > 1 else None
+        raw = reader.parquet(*([f[0] for f in starts] or [self.files[0][0]])) if starts is not None else reader.parquet(self.path)
         inferred = [x for x in self.leaves if x.name in raw.columns]
         out = [self._decoded(x).alias(x.name) for x in inferred]
         if not positions:
             return raw.select(*out)
         if len(self.files) == 1:
             return raw.select(*out, F.col("_metadata.row_index").alias(POSITION))
-        starts, before = [], 0
-        for (path, _, _), rows in zip(self.files, self.row_counts(), strict=True):
-            starts.append((path, before))
-            before += rows
-        file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-        placed = raw.select(*out, F.col("_metadata.row_index").alias(POSITION), file.alias("__file__"))
-        first = self.spark.createDataFrame(starts, "__file__ string, __first__ long")
+        if starts is None:
+            starts = self._overlapping(0, None)
+        placed = raw.select(*out, F.col("_metadata.row_index").alias(POSITION), _file().alias("__file__"))
+        first = self.spark.createDataFrame([(_plain_name(path), before) for path, before, _ in starts], "__file__ string, __first__ long")
         if len(starts) <= BROADCAST_FILES:
             first = F.broadcast(first)
         return placed.join(first, "__file__").withColumn(POSITION, F.col(POSITION) + F.col("__first__")).drop("__file__", "__first__")

@@ -33,7 +33,7 @@ def iter_chunks(spark: SparkSession, source, columns: list[str] | None = None, r
 
     table = source if isinstance(source, ParquetTable) else ParquetTable(spark, source, **options)
     names = [n for n in table.names if columns is None or n in columns]
-    df = table.frame(positions=True).where(F.col(POSITION) >= row_start)
+    df = table.frame(positions=True, within=(row_start, row_end)).where(F.col(POSITION) >= row_start)
     if row_end is not None:
         df = df.where(F.col(POSITION) < row_end)
     df = df.select(POSITION, *[F.col(f"`{n}`") for n in names]).repartitionByRange(POSITION).sortWithinPartitions(POSITION) if len(table.files) > 1 else df.select(POSITION, *[F.col(f"`{n}`") for n in names])
