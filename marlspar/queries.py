@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode
-from .functions.geo import geojson
 from .operators.filters import compile_filter
-from .operators.query import query, read, read_rows
+from .operators.query import query, read, read_column, read_rows
+from .plans.rowgroups import plan_groups
+from .plans.schema import schema_rows, schema_tree
 from .sources.footer import bloom_might_contain, footer_frame, page_index, read_footer
-from .sources.table import ParquetTable
+from .sources.table import _spill, shared_folder
+from .streaming.chunks import iter_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +77,15 @@ _add("query_no_filter", _query("orders", row_start=5, row_end=55, columns=ORDER)
 _add("orderby_slice_index", _query("lineitem", order_by="l_quantity", row_start=20, row_end=220, columns=LINE), f'SELECT i AS "__index__", l_orderkey, l_linenumber, l_quantity FROM {_numbered("lineitem")} ORDER BY l_quantity, i LIMIT 200 OFFSET 20')
 _add("orderby_all", _query("supplier", order_by="s_name", columns=["s_suppkey", "s_name"]), f'SELECT i AS "__index__", s_suppkey, s_name FROM {_numbered("supplier")} ORDER BY s_name, i')
 _add("filter_orderby_slice", _query("part", filter={"p_size": {"$gt": 10}}, order_by="p_name", row_start=3, row_end=103, columns=PART), f"SELECT p_partkey, p_name, p_size FROM {_numbered('part')} WHERE p_size > 10 ORDER BY p_name, i LIMIT 100 OFFSET 3")
-_add("read_column", _read("customer", columns=["c_acctbal"]), "SELECT c_acctbal FROM customer")
+
+
+def _column(spark: SparkSession, sf: str) -> DataFrame:
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"c_acctbal": read_column(spark, f"{sf}/customer.parquet", ["c_acctbal"])}))
+
+
+_add("read_column", _column, "SELECT c_acctbal FROM customer")
 _add("read_rows", lambda spark, sf: read_rows(spark, f"{sf}/orders.parquet", [3, 999, 42], columns=ORDER), f'SELECT i AS "__index__", o_orderkey, o_totalprice FROM {_numbered("orders")} WHERE i IN (3, 42, 999)')
 _add("read_rows_joined", lambda spark, sf: read_rows(spark, f"{sf}/orders.parquet", range(0, 3000, 2), columns=ORDER), f'SELECT i AS "__index__", o_orderkey, o_totalprice FROM {_numbered("orders")} WHERE i < 3000 AND i % 2 = 0')
 _add("row_count", lambda spark, sf: footer_frame(spark, f"{sf}/lineitem.parquet", "files").select("n_rows"), "SELECT count(*) AS n_rows FROM lineitem")
@@ -106,50 +118,124 @@ _add("json_parse", _json, "SELECT event_id, CAST(json_extract(props, '$.k') AS I
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrow batches of a scan put together again."""
-
-    def same(batches):
-        yield from batches
+    """The chunks of a table put together again."""
+    import pyarrow as pa
 
-    df = ParquetTable(spark, f"{sf}/supplier.parquet").frame()
-    return df.mapInArrow(same, df.schema)
+    parts: dict[str, list] = {}
+    for chunk in iter_chunks(spark, f"{sf}/supplier.parquet", rows=64):
+        parts.setdefault(chunk.column, []).append(chunk.data)
+    return spark.createDataFrame(pa.table({n: pa.chunked_array(x) for n, x in parts.items()}))
 
 
 _add("chunk_iter", _chunks, "SELECT * FROM supplier")
-_add("metadata_row_groups", lambda spark, sf: footer_frame(spark, f"{sf}/orders.parquet", "row_groups"))
-_add("metadata_columns", lambda spark, sf: footer_frame(spark, f"{sf}/orders.parquet", "columns"))
+_add("orderby_hidden_column", _query("part", filter={"p_size": {"$lt": 30}}, order_by="p_name", row_start=5, row_end=55, columns=["p_partkey"]), f"SELECT p_partkey FROM {_numbered('part')} WHERE p_size < 30 ORDER BY p_name, i LIMIT 50 OFFSET 5")
+_add("filter_then_early_stop", _query("orders", row_start=100, row_end=300, filter={"o_orderstatus": {"$eq": "O"}}, columns=ORDER, early_stop=True), ORACLES["filter_then_slice"])
 
 
-def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    from .plans.schema import schema_rows, schema_tree
+def _row_groups(spark: SparkSession, sf: str) -> DataFrame:
+    groups = footer_frame(spark, f"{sf}/orders.parquet", "row_groups")
+    return groups.agg(F.sum("n_rows").alias("n_rows"), F.max(F.col("first_row") + F.col("n_rows")).alias("rows_end"), F.min("first_row").alias("first_row"))
+
 
+_add("metadata_row_groups", _row_groups, "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS rows_end, CAST(0 AS BIGINT) AS first_row FROM orders")
+
+
+def _columns(spark: SparkSession, sf: str) -> DataFrame:
+    """What the footers say of key columns, over all row groups."""
+    chunks = footer_frame(spark, f"{sf}/orders.parquet", "columns").filter(F.col("column").isin("o_orderkey", "o_custkey"))
+    low, high = F.min(F.col("min_value").cast("long")), F.max(F.col("max_value").cast("long"))
+    return chunks.groupBy("column").agg(F.sum("n_values").alias("n_values"), F.sum("null_count").alias("n_nulls"), low.alias("least"), high.alias("most"))
+
+
+_add("metadata_columns", _columns, " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(*) AS BIGINT) AS n_values, CAST(count(*) - count({c}) AS BIGINT) AS n_nulls, CAST(min({c}) AS BIGINT) AS least, CAST(max({c}) AS BIGINT) AS most FROM orders" for c in ("o_custkey", "o_orderkey")))
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
     rows = schema_rows(schema_tree(read_footer(spark, f"{sf}/nation.parquet").schema))
-    return spark.createDataFrame(rows, "path string, depth int, repetition string, physical_type string, annotation string, definition_level int, repetition_level int")
+    df = spark.createDataFrame(rows, "path string, depth int, repetition string, physical_type string, annotation string, definition_level int, repetition_level int")
+    return df.select("path", "depth", "definition_level", "repetition_level")
+
 
+_add("schema_tree", _tree, "SELECT column_name AS path, CAST(1 AS INTEGER) AS depth, CAST(1 AS INTEGER) AS definition_level, CAST(0 AS INTEGER) AS repetition_level FROM (DESCRIBE SELECT * FROM nation)")
 
-_add("page_index", lambda spark, sf: page_index(spark, f"{sf}/orders.parquet"))
-_add("schema_tree", _tree)
+
+def _written(spark: SparkSession, df: DataFrame, **options) -> str:
+    """``df`` as one Parquet file by Spark, which writes page indexes and, where asked, bloom filters."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.coalesce(1).write.options(**{f"parquet.{k}": v for k, v in options.items()}).parquet(path)
+    return path
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds and nulls of a column, gathered from its pages."""
+    file = _written(spark, read(spark, f"{sf}/orders.parquet", columns=["o_orderkey", "o_totalprice"]), **{"page.row.count.limit": "500"})
+    pages = page_index(spark, file).filter("column = 'o_orderkey' AND NOT null_page")
+    key = lambda c: F.conv(F.concat(*[F.hex(F.substring(c, k, 1)) for k in range(8, 0, -1)]), 16, 10).cast("long")  # noqa: E731  little-endian
+    return pages.agg(F.sum("null_count").alias("n_nulls"), F.min(key(F.col("min_bytes"))).alias("least"), F.max(key(F.col("max_bytes"))).alias("most"), F.min("first_row").alias("first_row"), (F.count("*") > 1).alias("several"))
+
+
+_add("page_index", _pages, "SELECT CAST(count(*) - count(o_orderkey) AS BIGINT) AS n_nulls, CAST(min(o_orderkey) AS BIGINT) AS least, CAST(max(o_orderkey) AS BIGINT) AS most, CAST(0 AS BIGINT) AS first_row, count(*) > 500 AS several FROM orders")
+_PROBES = (1, 2, 7, 10**9, -5)
 
 
 def _bloom(spark: SparkSession, sf: str) -> DataFrame:
-    found = bloom_might_contain(spark, f"{sf}/orders.parquet", "o_orderkey", 1)
-    return spark.createDataFrame(list(enumerate(found)), "row_group int, might_contain boolean")
+    file = _written(spark, read(spark, f"{sf}/orders.parquet", columns=["o_custkey"]), **{"bloom.filter.enabled#o_custkey": "true", "bloom.filter.expected.ndv#o_custkey": "200000", "enable.dictionary": "false"})
+    rows = [(v, any(x is not False for x in bloom_might_contain(spark, file, "o_custkey", v))) for v in _PROBES]
+    return spark.createDataFrame(rows, "custkey long, might_contain boolean")
 
 
-_add("bloom_probe", _bloom)
+_add("bloom_probe", _bloom, f"SELECT CAST(v AS BIGINT) AS custkey, v IN (SELECT o_custkey FROM orders) AS might_contain FROM (VALUES {', '.join(f'({v})' for v in _PROBES)}) t(v)")
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    from .plans.rowgroups import plan_groups
+    """Rows of row groups that a filter on a key beyond all keys leaves out, and of those that one on every key reads."""
+    path = f"{sf}/orders.parquet"
+    rows = [(name, g.rows, g.read) for name, test in (("none", {"$lt": 0}), ("all", {"$gte": 0})) for g in plan_groups(spark, path, ["o_orderkey"], {"o_orderkey": test})]
+    return spark.createDataFrame(rows, "query string, n_rows long, is_read boolean").groupBy("query").agg(F.sum(F.when(F.col("is_read"), F.col("n_rows")).otherwise(0)).alias("rows_read"))
+
+
+_add("row_group_plan", _plan, "SELECT 'none' AS query, CAST(count(*) FILTER (o_orderkey < 0) AS BIGINT) AS rows_read FROM orders UNION ALL SELECT 'all', CAST(count(*) FILTER (o_orderkey >= 0) AS BIGINT) FROM orders")
+
+
+def _typed(spark: SparkSession, sf: str) -> str:
+    """supplier with types that Spark doesn't write: a file with UUIDs, half floats, nanoseconds and WKB, flat and nested."""
+    import hashlib
+    import struct
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    keys = read_column(spark, f"{sf}/supplier.parquet", ["s_suppkey"]).to_pylist()
+    ids = pa.ExtensionArray.from_storage(pa.uuid(), pa.array([hashlib.md5(str(k).encode()).digest() for k in keys], pa.binary(16)))
+    halves = pa.array([k % 512 / 4 for k in keys], pa.float32()).cast(pa.float16())
+    nanos = pa.array([k * 1_000_000_007 for k in keys], pa.timestamp("ns"))
+    wkb = pa.array([struct.pack("<BIdd", 1, 1, k, -k) for k in keys], pa.binary())
+    table = pa.table({"s_suppkey": pa.array(keys, pa.int64()), "id": ids, "half": halves, "nanos": nanos, "geometry": wkb, "n": pa.StructArray.from_arrays([ids, halves, nanos], names=["id", "half", "nanos"]), "l": pa.ListArray.from_arrays(pa.array(range(len(keys) + 1), pa.int32()), ids)})
+    geo = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"]}}}
+    sink = pa.BufferOutputStream()
+    pq.write_table(table.replace_schema_metadata({"geo": json.dumps(geo)}), sink)
+    return _spill(spark, sink.getvalue().to_pybytes())
+
+
+def _typed_column(*columns) -> Query:
+    return lambda spark, sf: read(spark, _typed(spark, sf)).select("s_suppkey", *columns)
+
+
+_ID = "regexp_replace(md5(CAST(s_suppkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+_HALF, _NANOS = "CAST(s_suppkey % 512 / 4.0 AS DOUBLE)", "make_timestamp(s_suppkey * 1000000007 // 1000)"
+_KEY = "CAST(s_suppkey AS BIGINT) AS s_suppkey"
+_add("uuid_text", _typed_column("id"), f"SELECT {_KEY}, {_ID} AS id FROM supplier")
+_add("float16", _typed_column("half"), f"SELECT {_KEY}, {_HALF} AS half FROM supplier")
+_add("nanos", _typed_column("nanos"), f"SELECT {_KEY}, {_NANOS} AS nanos FROM supplier")
+_add("nested_types", _typed_column("n.id", "n.half", "n.nanos"), f"SELECT {_KEY}, {_ID} AS id, {_HALF} AS half, {_NANOS} AS nanos FROM supplier")
+_add("list_of_uuids", lambda spark, sf: read(spark, _typed(spark, sf)).select("s_suppkey", F.element_at("l", 1).alias("id"), F.size("l").alias("n")), f"SELECT {_KEY}, {_ID} AS id, CAST(1 AS INTEGER) AS n FROM supplier")
+_add("wkb_geojson", _typed_column("geometry"), f"""SELECT {_KEY}, '{{"type":"Point","coordinates":[' || CAST(CAST(s_suppkey AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(-s_suppkey AS DOUBLE) AS VARCHAR) || ']}}' AS geometry FROM supplier""")
 
-    rows = [tuple(g.__dict__.values()) for g in plan_groups(spark, f"{sf}/orders.parquet", ["o_orderkey"], {"o_orderkey": {"$lt": 0}})]
-    return spark.createDataFrame(rows, "row_group int, first_row long, n_rows long, is_read boolean, why string, n_bytes long")
 
+def _variant(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants that Spark has written shredded."""
+    stored = _written(spark, read(spark, f"{sf}/events.parquet", columns=["event_id", "props"]).select("event_id", F.try_parse_json("props").alias("v")))
+    return read(spark, stored).select("event_id", F.variant_get("v", "$.k", "int").alias("k"))
 
-_add("row_group_plan", _plan)
 
-_POINT = "0101000000000000000000F03F0000000000000040"
-_add("wkb_geojson", lambda spark, sf: spark.range(1).select(geojson(F.unhex(F.lit(_POINT))).alias("geometry")), """SELECT '{"type":"Point","coordinates":[1.0,2.0]}' AS geometry""")
-_add("uuid_text", lambda spark, sf: spark.range(1).select(decode.uuid_text(F.unhex(F.lit("00112233445566778899AABBCCDDEEFF"))).alias("id")), "SELECT '00112233-4455-6677-8899-aabbccddeeff' AS id")
-_add("float16", lambda spark, sf: spark.createDataFrame([(0, "003C"), (1, "0080"), (2, "0100"), (3, "FF7B"), (4, "00C0")], "i int, h string").select("i", decode.float16(F.unhex("h")).alias("x")), "SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, -0.0::DOUBLE), (2, (2.0 ** -24)::DOUBLE), (3, 65504.0::DOUBLE), (4, -2.0::DOUBLE)) t(i, x)")
-_add("nanos", lambda spark, sf: spark.createDataFrame([(0, 1700000000123456789), (1, -1)], "i int, n long").select("i", decode.nanos_timestamp(F.col("n"), utc=False).alias("ts")), "SELECT * FROM (VALUES (0, TIMESTAMP '2023-11-14 22:13:20.123456'), (1, TIMESTAMP '1969-12-31 23:59:59.999999')) t(i, ts)")
+_add("variant_read", _variant, ORACLES["json_parse"])

@@ -41,14 +41,20 @@ class Options:
     parsers: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
 
-def _spill(spark: SparkSession, data: bytes) -> str:
-    """Bytes as a file that all executors see: in the shared folder, or in a temporary one in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; a temporary one in local mode where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise QueryError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marlspar-")
-    path = f"{folder.rstrip('/')}/source-{uuid.uuid4().hex}.parquet"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _spill(spark: SparkSession, data: bytes) -> str:
+    """Bytes as a file that all executors see."""
+    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}.parquet"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
