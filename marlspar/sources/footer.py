@@ -37,6 +37,13 @@ class Chunk:
     null_count: int | None
     minimum: object
     maximum: object
+    data_encodings: dict[str, int] = field(default_factory=dict)  # pages by encoding
+    dictionary_encodings: dict[str, int] = field(default_factory=dict)
+    unencoded_bytes: int | None = None  # of byte arrays
+    repetition_levels: list[int] = field(default_factory=list)  # how many values have each level; empty where all have one
+    definition_levels: list[int] = field(default_factory=list)
+    bounding_box: dict[str, float] | None = None
+    geometry_types: list[int] | None = None
 
 
 @dataclass
@@ -176,7 +183,7 @@ def _read_footer(spark: SparkSession, path: str, size: int, changed: int) -> Foo
                 note = kind.getLogicalTypeAnnotation()
                 bloom, dictionary = c.getBloomFilterOffset(), c.getDictionaryPageOffset()
                 physical, said = kind.getPrimitiveTypeName().toString(), "" if note is None else note.toString()
-                chunks.append(Chunk(c.getPath().toDotString(), physical, said, c.getCodec().toString(), sorted(e.toString() for e in c.getEncodings()), c.getValueCount(), c.getTotalSize(), c.getTotalUncompressedSize(), c.getFirstDataPageOffset(), dictionary or None, bloom if bloom >= 0 else None, stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None, _value(stats, "min", physical, said), _value(stats, "max", physical, said)))
+                chunks.append(Chunk(c.getPath().toDotString(), physical, said, c.getCodec().toString(), sorted(e.toString() for e in c.getEncodings()), c.getValueCount(), c.getTotalSize(), c.getTotalUncompressedSize(), c.getFirstDataPageOffset(), dictionary or None, bloom if bloom >= 0 else None, stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None, _value(stats, "min", physical, said), _value(stats, "max", physical, said), **_more_of(c)))
             groups.append(Group(block.getRowCount(), block.getTotalByteSize(), first, chunks))
             first += block.getRowCount()
         kv = {e.getKey(): e.getValue() for e in about.getKeyValueMetaData().entrySet()}
@@ -185,9 +192,27 @@ def _read_footer(spark: SparkSession, path: str, size: int, changed: int) -> Foo
         reader.close()
 
 
+def _more_of(c) -> dict:
+    """Encoding, size and geospatial statistics of a JVM column chunk."""
+    out: dict = {}
+    if (e := c.getEncodingStats()) is not None:
+        out["data_encodings"] = {k.toString(): e.getNumDataPagesEncodedAs(k) for k in e.getDataEncodings()}
+        out["dictionary_encodings"] = {k.toString(): e.getNumDictionaryPagesEncodedAs(k) for k in e.getDictionaryEncodings()}
+    if (sizes := c.getSizeStatistics()) is not None:
+        n = sizes.getUnencodedByteArrayDataBytes()
+        out["unencoded_bytes"] = n.get() if n.isPresent() else None
+        out["repetition_levels"], out["definition_levels"] = list(sizes.getRepetitionLevelHistogram()), list(sizes.getDefinitionLevelHistogram())
+    if (geo := c.getGeospatialStatistics()) is not None:
+        if (box := geo.getBoundingBox()) is not None:
+            out["bounding_box"] = {f"{axis}{end}".lower(): v for axis in "XYZM" for end in ("Min", "Max") if (v := getattr(box, f"get{axis}{end}")()) == v and abs(v) != float("inf")}
+        if (types := geo.getGeospatialTypes()) is not None:
+            out["geometry_types"] = sorted(types.getTypes())
+    return out
+
+
 FOOTER_SCHEMAS = {
     "files": "path string, n_rows long, n_row_groups int, n_columns int, created_by string, format_version string, footer_bytes long, key_values map<string,string>",
-    "row_groups": "path string, row_group int, first_row long, n_rows long, total_bytes long",
+    "row_groups": "path string, row_group int, first_row long, n_rows long, total_bytes long, sorting_columns array<string>",
     "columns": "path string, row_group int, column string, physical_type string, logical_type string, codec string, encodings array<string>, n_values long, null_count long, distinct_count long, min_value string, max_value string, compressed_bytes long, uncompressed_bytes long, max_definition_level int, max_repetition_level int, has_column_index boolean, has_offset_index boolean",
 }
 
@@ -215,7 +240,8 @@ def footer_frame(spark: SparkSession, path: str, level: str = "row_groups") -> D
                 for g in range(m.num_row_groups):
                     group = m.row_group(g)
                     if level == "row_groups":
-                        rows.append((name, g, first, group.num_rows, group.total_byte_size))
+                        order = [m.schema.column(x.column_index).path + (" desc" if x.descending else "") for x in group.sorting_columns]
+                        rows.append((name, g, first, group.num_rows, group.total_byte_size, order))
                     elif level == "columns":
                         for k in range(group.num_columns):
                             c, s = group.column(k), file.schema.column(k)

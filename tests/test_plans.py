@@ -97,3 +97,13 @@ def test_filters_with_blooms_lose_no_rows(spark, tmp_path):
     for query, read in (({"l": {"$eq": [3]}, "code": {"$eq": 6}}, True), ({"code": {"$eq": 5.5}}, True), ({"code": {"$in": [7, [8]]}}, True), ({"code": {"$eq": 7}}, False), ({"code": 7}, False), ({"s": {"$eq": 3}}, True), ({"code": {"$eq": {"x": 1}}}, True)):
         assert [g.read for g in plan_groups(spark, file, filter=query, use_bloom_filters=True)] == [read]
         assert read or m.read(spark, file, filter=query).count() == 0
+
+
+def test_footers_tell_encodings_sizes_and_order(spark, tmp_path):
+    path = str(tmp_path / "more.parquet")
+    pq.write_table(pa.table({"s": ["a", "bc", None], "l": [[1], [2, 3], None]}), path, sorting_columns=[pq.SortingColumn(0, descending=True)])
+    s, l = read_footer(spark, path).groups[0].chunks
+    assert s.data_encodings == {"RLE_DICTIONARY": 1} and s.dictionary_encodings == {"PLAIN": 1}
+    assert s.unencoded_bytes == 3 and s.definition_levels == [1, 2] and l.repetition_levels == [3, 1] and l.definition_levels == [1, 0, 0, 3]
+    assert s.bounding_box is None and s.geometry_types is None
+    assert m.footer_frame(spark, path).first()["sorting_columns"] == ["s desc"]
