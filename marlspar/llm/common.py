@@ -74,3 +74,14 @@ def sub_batches(batches, most_bytes: int = 4 << 20, column: int = 1):
             to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks: one heavy object at a time, so that operators that follow each other don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

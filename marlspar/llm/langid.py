@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import kept, sub_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -235,7 +235,6 @@ def fit(docs: DataFrame, each: int = 250, most_bytes: int = 20_000) -> Model | N
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
-_KEPT: dict[str, Labeller] = {}
 
 
 def identify(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -252,10 +251,7 @@ def identify(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ())
     def run(batches):
         import pyarrow as pa
 
-        if name not in _KEPT:
-            _KEPT.clear()
-            _KEPT[name] = sent.value and Labeller(sent.value)
-        labeller = _KEPT[name]
+        labeller = kept(name, lambda: sent.value and Labeller(sent.value))
         for batch in sub_batches(batches):
             texts = batch.column(1).to_pylist()
             rows = labeller.label(texts) if labeller else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
@@ -265,5 +261,5 @@ def identify(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found, *(x for _, x in rest)], ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *(n for n, _ in rest)])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"), *[F.col(c).alias(f"kept_{c}") for c in extra])
-    kept = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return source.mapInArrow(run, SCHEMA + kept)
+    carried = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return source.mapInArrow(run, SCHEMA + carried)

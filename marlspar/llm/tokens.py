@@ -14,6 +14,8 @@ from itertools import chain, compress, count
 
 import numpy as np
 
+from .common import kept
+
 #: White-space runs as the byte-level pre-tokenizer sees them.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that are white space to Python but not to the tokenizer.
@@ -42,7 +44,7 @@ class PieceEncoder:
     #: Pieces that go to the tokenizer as one text.
     JOINED = 4096
 
-    def __init__(self, tokenizer_path: str, cache_chars: int = 14_000_000):
+    def __init__(self, tokenizer_path: str, cache_chars: int = 9_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,11 +159,6 @@ class PieceEncoder:
         return ids, np.concatenate([[0], after])[upto]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(tokenizer_path: str) -> PieceEncoder:
     """One encoder for each Python worker, kept between tasks."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    return kept(("encoder", tokenizer_path), lambda: PieceEncoder(tokenizer_path))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import kept, sub_batches
 from .langid import held_out
 
 WORDS, LEVEL = 5, 7  # words of a window, zstandard level
@@ -163,7 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, toxic
     return model
 
 
-_KEPT: dict[str, Scorer | None] = {}
 
 
 def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0) -> DataFrame:
@@ -179,10 +178,7 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, fold: int = 0) -
     def run(batches):
         import pyarrow as pa
 
-        if name not in _KEPT:
-            _KEPT.clear()
-            _KEPT[name] = sent.value and Scorer(sent.value)
-        scorer = _KEPT[name]
+        scorer = kept(name, lambda: sent.value and Scorer(sent.value))
         for batch in sub_batches(batches):
             found = scorer.score(batch.column(1).to_pylist()) if scorer else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
