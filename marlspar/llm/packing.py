@@ -151,7 +151,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 50_00
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 50_000) -> DataFrame:
     """Every document's pieces with their places in sequences of at most ``capacity`` ids.
 
-    Null text packs as an empty document (its end id alone); a null doc_id is carried; repeated rows are separate documents.
+    Null text packs as an empty document (its end id alone); a null doc_id is carried; repeated rows are separate documents;
+    an empty table gives none. ``n_bins`` over ``bound`` in the result tells that a group's packing isn't proven optimal.
     """
     pieces, path = write_table(piece_table(docs, tokenizer_path, capacity, end_id), "pieces")
     packed = pack_pieces(pieces, capacity, group_rows)

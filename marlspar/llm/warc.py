@@ -84,7 +84,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 32
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, that with the smallest page_id becomes a response and the
     others revisit it. Null html is the empty payload; a null page_id is always a response; rows that repeat the smallest
-    page_id and its payload are all responses. Equal payloads meet as (page_id, digest) rows only, never as html.
+    page_id and its payload are all responses. Equal payloads meet as (page_id, digest) rows only, never as html. An empty
+    table gives an empty manifest.
     """
     spark, folder = pages.sparkSession, fresh_path(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))

@@ -185,3 +185,38 @@ def test_sequences_hold_their_pieces(documents, plain):
     for r in packed.collect():
         own = [*plain.encode(f"some words {r['doc_id']} " * (r["doc_id"] + 1), add_special_tokens=False).ids, 0]
         assert made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == own[r["start"] : r["start"] + r["length"]]
+
+
+def test_packing_of_many_groups_is_exchanged_and_whole(documents, plain):
+    """Small groups, so that several have gaps and exchange: every document is placed once, in sequences that hold it, with few bins."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(0, 90))), "en", "a") for i in range(400)]
+    packed = packing.pack_documents(documents(rows, extra=True), PATH, capacity=64, group_rows=60).collect()
+    by_doc = {}
+    for r in packed:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    lengths = []
+    for i, text, *_ in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and sum(r["length"] for r in own) == len(ids)
+        assert [r["start"] for r in own] == np.cumsum([0, *(r["length"] for r in own)])[:-1].tolist()
+        for r in own:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
+            lengths.append(r["length"])
+    by_bin = {}
+    for r in packed:
+        by_bin.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_bin.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    bound = packing.lower_bound(np.array(lengths), 64)
+    assert bound <= len(by_bin) <= 1.03 * bound + 2
+    assert len({r["pack_group"] for r in packed}) > 1 and all(r["n_bins"] >= r["bound"] for r in packed)
+
+
+def test_nothing_to_pack(documents):
+    assert packing.pack_documents(documents([]), PATH).count() == 0
