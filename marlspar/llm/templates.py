@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders; five-word windows of what is left are hash-joined between benchmark and
 documents. Matched windows are then aligned, and the slots behind the placeholders must be filled consistently: equal slots
 of the item by equal values of the document. So re-parameterised copies are found, and chance meetings of a template are not.
-A window is also matched by its plain lower-cased words, so that verbatim copies don't depend on the template. Windows poor
-in words are matched by their plain words alone, and items shorter than a window by windows of their own length.
+A window is also matched by its plain lower-cased words, as they are and with numbers masked, so that verbatim copies, and
+those with other numbers, don't depend on how names are written. Windows poor in words are matched by their plain words
+alone, and items shorter than a window by windows of their own length.
 """
 
 from __future__ import annotations
@@ -46,28 +47,30 @@ def text_key():
 
 
 def _both(df: DataFrame, key: str) -> DataFrame:
-    """key, the template's ``words`` and the plain words in lower case, ``raw``, of every text that has words."""
-    return df.select(key, _words(template(F.col("text"))).alias("words"), _words(F.lower(_plain(F.col("text")))).alias("raw")).filter(F.size("words") > 0)
+    """key, the template's ``words``, the plain words in lower case, ``raw``, and these with numbers masked, ``masked``, of every text that has words."""
+    plain = F.lower(_plain(F.col("text")))
+    masked = F.regexp_replace(plain, r"\p{N}+", NUMBER)
+    return df.select(key, _words(template(F.col("text"))).alias("words"), _words(plain).alias("raw"), _words(masked).alias("masked")).filter(F.size("words") > 0)
 
 
 def _windows(df: DataFrame, key: str, at: str, size: int = WINDOW, by_template: bool = True) -> DataFrame:
-    """key, position and hash of each window of ``size`` words, by plain words (``plain``) and by template (``h``).
+    """key, position and hash of each window of ``size`` words, by plain words (``raw_hash``), by template (``words_hash``) and by plain words with numbers masked (``masked_hash``).
 
     A text with fewer words is one window. The words of a window come side by side from arrays that are moved against each
     other, so that exploding and hashing stay in generated code.
     """
-    sides = ["raw"] + ["words"] * by_template
+    sides = ["raw", "words", "masked"] if by_template else ["raw"]
     moved = df.select(key, *[(F.slice(x, k + 1, F.size(x)) if k else F.col(x)).alias(f"{x}{k}") for x in sides for k in range(size)])
     rows = moved.select(key, F.posexplode(F.arrays_zip(*[f"{x}{k}" for x in sides for k in range(size)])).alias(at, "of"))
     whole = rows.filter((F.col(at) == 0) | F.col(f"of.raw{size - 1}").isNotNull())
-    return whole.select(key, at, *[F.xxhash64(*[F.col(f"of.{x}{k}") for k in range(size)]).alias("plain" if x == "raw" else "h") for x in sides])
+    return whole.select(key, at, *[F.xxhash64(*[F.col(f"of.{x}{k}") for k in range(size)]).alias(f"{x}_hash") for x in sides])
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, ipos, window, telling, h, item_words (as they stand), slots, n_telling, n_all of each window.
 
     A telling window has two words at least that aren't placeholders, or all of a shorter item's; ``window``, its hash by
-    template, names it and ``h`` is that hash or the one by plain words. Other windows have the hash by plain words alone.
+    template, names it and ``h`` is that hash or one of those by plain words. Other windows have the hash by plain words alone.
     Items without a letter have none.
     """
     source = _both(items.filter(F.col("item_id").isNotNull()), "item_id").filter(F.exists("raw", lambda w: w.rlike(r"\p{L}")))
@@ -75,8 +78,8 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     own = F.slice("words", F.col("ipos") + 1, WINDOW)
     real = F.size(F.filter(own, lambda w: ~w.startswith("ǁ")))
     known = placed.withColumn("telling", real >= F.least(F.lit(2), F.size(own)))
-    line = ["item_id", "ipos", "telling", F.when(F.col("telling"), F.col("h")).otherwise(F.col("plain")).alias("window"), F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")]
-    kept = known.select(*line, F.explode(F.when(F.col("telling"), F.array("h", "plain")).otherwise(F.array("plain"))).alias("h")).distinct()
+    line = ["item_id", "ipos", "telling", F.when(F.col("telling"), F.col("words_hash")).otherwise(F.col("raw_hash")).alias("window"), F.slice("raw", F.col("ipos") + 1, WINDOW).alias("item_words"), F.transform(own, lambda w: w.startswith("ǁ")).alias("slots")]
+    kept = known.select(*line, F.explode(F.when(F.col("telling"), F.array("words_hash", "raw_hash", "masked_hash")).otherwise(F.array("raw_hash"))).alias("h")).distinct()
     count = kept.groupBy("item_id").agg(F.countDistinct(F.when(F.col("telling"), F.col("window"))).alias("n_telling"), F.countDistinct("window").alias("n_all"))
     return kept.join(count, "item_id")
 
@@ -126,11 +129,13 @@ def leak_pairs(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     named = docs.select("doc_id", "text").withColumn("doc_key", text_key())
     words = _both(named, "doc_key")
     either = _windows(words, "doc_key", "dpos")
-    either = either.select("doc_key", "dpos", F.explode(F.when(F.col("h") == F.col("plain"), F.array("h")).otherwise(F.array("h", "plain"))).alias("h"))
+    by_template, by_words, masked = F.col("words_hash"), F.col("raw_hash"), F.col("masked_hash")
+    distinct = F.when(by_template == by_words, F.array(by_words)).when((masked == by_words) | (masked == by_template), F.array(by_template, by_words)).otherwise(F.array(by_template, by_words, masked))
+    either = either.select("doc_key", "dpos", F.explode(distinct).alias("h"))
     for size in sorted(r[0] for r in wanted.select(F.size("slots")).distinct().collect()):
         if size < WINDOW:
             own = _windows(words.filter(F.size("raw") > size), "doc_key", "dpos", size, by_template=False)
-            either = either.unionByName(own.select("doc_key", "dpos", F.col("plain").alias("h")))
+            either = either.unionByName(own.select("doc_key", "dpos", F.col("raw_hash").alias("h")))
     found, found_path = write_table(either.join(few(wanted.select("h").distinct()), "h", "left_semi"), "window-hits")
     rare = _rarest(wanted, found, similarity)
     pairs = found.join(few(rare), "h").select("doc_key", "item_id").distinct()

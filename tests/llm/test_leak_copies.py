@@ -1,5 +1,7 @@
 """Benchmark items that documents hold in other surroundings, spellings and lengths."""
 
+import random
+
 from marlspar.llm import templates
 
 
@@ -36,3 +38,37 @@ def test_items_poor_in_words_and_short_items(spark, documents):
         "who saw anna 5 times in a week",
     ]
     assert found(spark, documents, items, texts) == {(1, 1), (3, 2), (5, 3)}
+
+
+NAMES, THINGS = "Anna Bruno Clara David Emil Frida Georg Hanna".split(), "apples books coins stamps cards pencils".split()
+TAILS = ["before the long evening at the old market", "while the small train waits in the valley", "after they walked around the lake", "as the first snow fell on the town"]
+
+
+def question(rng):
+    thing = rng.choice(THINGS)
+    return f"{{a}} {rng.choice(['gives', 'sells', 'lends'])} {{b}} {{n}} {thing} {rng.choice(TAILS)}. {{a}} then takes {{k}} {thing} back and walks {{n}} km home. How many {thing} does {{b}} have when the sun goes down"
+
+
+def filled(rng, low, high):
+    a, b = rng.sample(NAMES, 2)
+    return {"a": a, "b": b, "n": rng.randint(low, high), "k": rng.randint(low, high)}
+
+
+def test_recall_of_changed_copies(spark, documents):
+    """All copies with other names, numbers or spelling are found; upper and lower case ones as long as their names stay."""
+    rng = random.Random(5)
+    forms = [(question(rng), filled(rng, 2, 60)) for _ in range(12)]
+    changes = [
+        lambda f, s: f.format(**s),
+        lambda f, s: f.format(**s).upper(),
+        lambda f, s: f.format(**s).lower(),
+        lambda f, s: f.format(**s).replace(" ", "  ").replace(".  ", ".\n"),
+        lambda f, s: f.format(**filled(rng, 100, 900)),
+        lambda f, s: "they ask (" + f.format(**filled(rng, 100, 900)) + ")",
+        lambda f, s: "it is 7 " + f.format(**filled(rng, 100, 900)).replace(" then", "\nthen"),
+        lambda f, s: f.format(**{**s, "n": 777, "k": 88}).upper(),
+        lambda f, s: f.format(**{**s, "n": 777, "k": 88}).lower(),
+    ]
+    texts = ["so they say. " + change(*form) + " and that is all of it" for form in forms for change in changes]
+    got = found(spark, documents, [f.format(**s) for f, s in forms], texts)
+    assert {(1 + i, 1 + i // len(changes)) for i in range(len(texts))} <= got
