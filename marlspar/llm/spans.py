@@ -98,9 +98,16 @@ class Block:
         return self.joined[self.start[i] : self.start[i] + self.windows[i] + LENGTH - 1]
 
 
+def _rows(table) -> tuple[list[int], list[bytes]]:
+    """doc_ids (null: after all others) and texts in an order that any task finds again: by id, then text."""
+    ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
+    texts = [x.encode() for x in table.column("text").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return [ids[i] for i in order], [texts[i] for i in order]
+
+
 def _block(table) -> Block:
-    """From doc_id (null: after all others) and text columns."""
-    return Block([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], [x.encode() for x in table.column("text").to_pylist()])
+    return Block(*_rows(table))
 
 
 def _keys(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +215,7 @@ def list_segments(block_id: int, block: Block, buckets: int, shared: list[tuple[
     for b, lo, hi in _slices(to[order[starts]]):
         known = by_bucket[b]
         yield b, block_id, zstandard.compress(b"".join(known)), np.fromiter(map(len, known), dtype="<i4", count=len(known)).tobytes(), least[lo:hi].astype("<i8").tobytes(), most[lo:hi].astype("<i8").tobytes()
-    yield -1 - block_id, block_id, _pack(*(x[order] for x in (spot, number, start - block.at[doc]))), b"", b"", b""
+    yield -1 - block_id, block_id, _pack(*(x[order] for x in (spot, doc, start - block.at[doc]))), b"", b"", b""
 
 
 def smallest_holders(bucket: int, blocks: list[int], texts: list[bytes], lengths: list[bytes], least: list[bytes], most: list[bytes]):
@@ -256,14 +263,14 @@ def smallest_holders(bucket: int, blocks: list[int], texts: list[bytes], lengths
         yield block, bucket, _pack(np.int64(bucket) << 32 | index[owner[pick]], holds[pick], begins[pick], ends[pick])
 
 
-def own_ranges(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, from and to of the byte ranges that have to go, from a block's (bucket, runs) rows."""
+def own_ranges(doc_ids: list[int], rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, from and to of the byte ranges that have to go, from a block's (bucket, runs) rows."""
     none = np.zeros(0, dtype=np.int64)
     places = [_unpack(data, 3) for bucket, data in rows if bucket < 0]
     runs = [_unpack(data, 4) for bucket, data in rows if bucket >= 0]
     if not places or not runs:
         return none, none, none
-    spot, doc, start = (np.concatenate(x) for x in zip(*places, strict=True))
+    spot, row, start = (np.concatenate(x) for x in zip(*places, strict=True))
     of, holder, begins, ends = (np.concatenate(x) for x in zip(*runs, strict=True))
     order = np.argsort(of, kind="stable")
     of, holder, begins, ends = of[order], holder[order], begins[order], ends[order]
@@ -271,18 +278,18 @@ def own_ranges(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     n -= lo
     place = np.repeat(np.arange(len(spot)), n)
     run = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    later = doc[place] > holder[run]
+    later = np.array(doc_ids, dtype=np.int64)[row[place]] > holder[run]
     place, run = place[later], run[later]
-    return doc[place], start[place] + begins[run], start[place] + ends[run]
+    return row[place], start[place] + begins[run], start[place] + ends[run]
 
 
-def cut_ranges(doc_ids: list[int], texts: list[bytes], ranges: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """(n_bytes, n_removed, n_spans, kept) of each text after the ranges of its doc_id are cut out."""
+def cut_ranges(texts: list[bytes], ranges: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """(n_bytes, n_removed, n_spans, kept) of each text after its ranges are cut out."""
     order = np.argsort(ranges[0], kind="stable")
-    doc, low, high = (x[order] for x in ranges)
-    by_doc = {number: (low[a:b], high[a:b]) for number, a, b in _slices(doc)}
-    for number, text in zip(doc_ids, texts, strict=True):
-        own = by_doc.get(number)
+    row, low, high = (x[order] for x in ranges)
+    by_row = {number: (low[a:b], high[a:b]) for number, a, b in _slices(row)}
+    for number, text in enumerate(texts):
+        own = by_row.get(number)
         if not own:
             yield len(text), 0, 0, text
             continue
@@ -296,9 +303,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot: int = 1 <
     """Cut every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) on demand. Null text counts as empty; a null
-    doc_id is larger than any other; rows that share a doc_id never cut one another, and each is cut by what smaller ones
-    hold (ranges found in one row apply at the same places of another only where their texts are equal, so keys must be unique
-    for differing texts). An empty table gives none. ``block_bytes`` of text make a block and bound a task's memory; anchors
+    doc_id is larger than any other; rows that share a doc_id, or have none, never cut one another, and each is cut by what
+    smaller ones hold. An empty table gives none. ``block_bytes`` of text make a block and bound a task's memory; anchors
     with over ``hot`` segments are dealt in pieces.
     """
     import pyarrow as pa
@@ -307,7 +313,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot: int = 1 <
     buckets = max(1, min(1 << 22, n // 2))
     tasks = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # buckets take more time than their bytes tell
     number = F.col("doc_id").cast("long")
-    dealt = docs.select(number.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(number), F.lit(n)).alias("block")).repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+    dealt = docs.select(number.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.when(number.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(number)), F.lit(n)).alias("block")).repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
 
     def table(rows, names: list[str], kinds: list):
         rows = list(rows)
@@ -335,10 +341,9 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 3_500_000, hot: int = 1 <
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 
     def cut(group: pa.Table, found: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_pylist()
-        ranges = own_ranges(list(zip(*(found.column(c).to_pylist() for c in ("bucket", "runs")), strict=True)))
-        out = cut_ranges([NO_ID if x is None else x for x in ids], [x.encode() for x in group.column("text").to_pylist()], ranges)
-        rows = [(i, size, gone, spans, hashlib.sha256(kept).hexdigest(), kept) for i, (size, gone, spans, kept) in zip(ids, out, strict=True)]
+        ids, texts = _rows(group)
+        out = cut_ranges(texts, own_ranges(ids, list(zip(*(found.column(c).to_pylist() for c in ("bucket", "runs")), strict=True))))
+        rows = [(None if i == NO_ID else i, size, gone, spans, hashlib.sha256(kept).hexdigest(), kept) for i, (size, gone, spans, kept) in zip(ids, out, strict=True)]
         return table(rows, result, [int64, int64, int64, int64, pa.string(), data][: len(result)])
 
     listed = dealt.groupBy("block").applyInArrow(anchors, "bucket long, block long, keys binary, in_two binary, counts binary")

@@ -79,6 +79,15 @@ def test_a_line_in_every_document(documents):
         assert rows_of(spans.remove_repeats(documents(rows), hot=hot, blocks=5)) == want
 
 
+def test_rows_without_an_id_or_with_the_same_one(documents):
+    """Texts that differ under one id, or none, are cut each by itself."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(6)]
+    rows = [(rng.choice([None, None, 5, 6, 7, 8]), rng.choice(pool) + "".join(rng.choices("xyz", k=rng.randint(1, 30))) + rng.choice(pool), "en", "s") for _ in range(60)]
+    for hot in (0, 1 << 15):
+        assert rows_of(spans.remove_repeats(documents(rows), hot=hot, blocks=4)) == brute_repeats(rows)
+
+
 def test_hot_segments_spread_over_buckets():
     rows = licensed(2000, random.Random(7))
     block = spans.Block([r[0] for r in rows], [r[1].encode() for r in rows])
