@@ -354,3 +354,34 @@ def test_no_leaks_in_empty_tables(spark, documents):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert templates.leaks(documents([]), items).count() == 0
     assert templates.leaks(documents([(1, "the quick brown fox", "en", "a")]), items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 7, 22])
+def test_bit_sliced_distances_against_counts(radius):
+    """Blocks of lanes, closed lanes and every radius, against distances counted one by one."""
+    rng = np.random.default_rng(radius)
+    base = int(rng.integers(0, 1 << 63))
+    prints = np.array([base ^ sum(1 << int(b) for b in rng.choice(64, size=int(rng.integers(0, 30)), replace=False)) for _ in range(9000)], dtype=np.uint64)
+    free = rng.random(len(prints)) < 0.7
+    free[4096:8192] = False  # whole blocks without an open lane
+    words = simhash.near_lanes(simhash.bit_planes(prints), base, simhash.lane_words(free), radius, block=16)
+    got = np.unpackbits(words.view(np.uint8), bitorder="little")[: len(prints)].astype(bool)
+    assert np.array_equal(got, free & (np.bitwise_count(prints ^ np.uint64(base)) <= radius))
+
+
+def test_large_buckets_are_linked_whole():
+    rng = np.random.default_rng(4)
+    prints = np.unique(np.array([int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in rng.integers(0, 1 << 63, 40) for a, b in rng.integers(0, 64, (60, 2))], dtype=np.uint64))
+    rng.shuffle(prints)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    want = np.arange(len(prints))
+    while True:
+        least = np.where(near, want[None, :], len(prints)).min(axis=1)
+        if np.array_equal(least, want):
+            break
+        want = least
+    parent = np.arange(len(prints))
+    for a, b in simhash.link_bucket(prints):
+        assert near[a, b]
+        parent[parent == max(parent[a], parent[b])] = min(parent[a], parent[b])
+    assert np.array_equal(np.unique(parent, return_inverse=True)[1], np.unique(want, return_inverse=True)[1])
