@@ -17,20 +17,13 @@ def needs_arrow(footer: Footer) -> bool:
     return any(c.codec in CODECS or ENCODINGS.intersection(c.encodings) for g in footer.groups for c in g.chunks)
 
 
-def arrow_frame(spark: SparkSession, footers: list[Footer], leaves: list[Leaf], position: str, within: tuple[int, int | None] = (0, None), starts: list[int] | None = None, remote: ByteSource | None = None) -> DataFrame:
-    """Raw columns, typed as Spark would read them, with each row's position over all files; a task for some row groups each.
-
-    Groups without a row in ``within`` are not opened. ``starts`` has the position of each footer's first row, where the
-    files before it are left out. ``remote`` is read by ranges in the place of the footers' files.
+def arrow_frame(spark: SparkSession, groups: list[tuple[str, int, int]], leaves: list[Leaf], position: str, remote: ByteSource | None = None) -> DataFrame:
+    """Raw columns of row groups (path, number in the file, position of the first row), typed as Spark would read them, with
+    each row's position; a task for some row groups each. ``remote`` is read by ranges in the place of the path.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     names, kinds = [x.name for x in leaves], [to_arrow_type(x.kind) for x in leaves]
-    groups, before = [], 0
-    for k, f in enumerate(footers):
-        first = before if starts is None else starts[k]
-        groups += [(f.path, i, first + g.first_row) for i, g in enumerate(f.groups) if first + g.first_row + g.rows > within[0] and (within[1] is None or first + g.first_row < within[1])]
-        before += f.rows
 
     def run(batches):
         import pyarrow as pa

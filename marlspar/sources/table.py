@@ -16,7 +16,7 @@ from ..errors import QueryError
 from ..functions import decode
 from ..functions.geo import geo_columns, geojson, geojson_lists
 from .arrow import arrow_frame, needs_arrow
-from .footer import Footer, list_files, read_footer
+from .footer import Footer, footer_frame, list_files, read_footer
 from .ranges import ByteSource, UrlSource, footer_only
 
 #: Hidden column with a row's position.
@@ -25,6 +25,8 @@ POSITION = "__position__"
 BROADCAST_FILES = 200_000
 #: Row ranges over more files don't look for row groups in their footers.
 FOOTERS = 64
+#: Footers of up to so many files are read on the driver.
+FEW = 8
 
 
 @dataclass
@@ -167,6 +169,21 @@ class ParquetTable:
             before += rows
         return out
 
+    def _groups(self, paths: list[str], within: tuple[int, int | None]) -> list[tuple[str, int, int]]:
+        """(path, number, first position) of the row groups of files that hold rows in the range. Many footers are read by executors."""
+        if len(paths) <= FEW:
+            known = {p: [(i, g.first_row, g.rows) for i, g in enumerate((self.footer if p == self.footer.path else read_footer(self.spark, p)).groups)] for p in paths}
+        else:
+            known = {p: [] for p in paths}
+            for r in footer_frame(self.spark, self.path, "row_groups").select("path", "row_group", "first_row", "n_rows").toLocalIterator():
+                if r[0] in known:
+                    known[r[0]].append(tuple(r)[1:])
+        out, before = [], 0
+        for (path, _, _), rows in zip(self.files, self.row_counts(), strict=True):
+            out += [(path, i, before + first) for i, first, n in sorted(known.get(path, ())) if before + first + n > within[0] and (within[1] is None or before + first < within[1])]
+            before += rows
+        return out
+
     def frame(self, positions: bool = False, within: tuple[int, int | None] | None = None, only: list[str] | None = None) -> DataFrame:
         """Columns decoded; with ``positions`` also each row's place over all files in path order.
 
@@ -180,8 +197,7 @@ class ParquetTable:
             wanted = None if within is None or within[1] is None else within[1] - within[0]
             if self.by_arrow or wanted is not None and len(files) <= FOOTERS and 2 * wanted <= sum(f[2] for f in files):
                 leaves = [x for x in self.leaves if only is None or x.name in only]
-                footers = [self.footer if f[0] == self.footer.path else read_footer(self.spark, f[0]) for f in files]
-                raw = arrow_frame(self.spark, footers, leaves, POSITION, within or (0, None), [f[1] for f in files] if narrow else None, self.remote)
+                raw = arrow_frame(self.spark, self._groups([f[0] for f in files], within or (0, None)), leaves, POSITION, self.remote)
                 return raw.select(*[self._decoded(x).alias(x.name) for x in leaves], *[POSITION] * positions)
         reader = self.spark.read.option("parquet.filter.bloom.enabled", self.options.bloom_filters).option("parquet.filter.columnindex.enabled", self.options.page_index)
         if decode.needs_schema(self.leaves):

@@ -100,3 +100,13 @@ def test_urls_are_read_by_ranges(spark, tmp_path):
         assert m.read(spark, source, columns=["x"], utf8=False).count() == 4000
     finally:
         server.shutdown()
+
+
+def test_many_files_that_arrow_decodes(spark, tmp_path):
+    """Their row groups come from footers that executors read."""
+    for k in range(12):
+        pq.write_table(pa.table({"i": pa.array(range(10 * k, 10 * k + 10)), "x": [k / 3] * 10}), tmp_path / f"part{k:02}.parquet", row_group_size=4, compression="brotli")
+    folder = str(tmp_path)
+    assert [r["i"] for r in m.read(spark, folder).orderBy("i").collect()] == list(range(120))
+    assert [r["i"] for r in m.read(spark, folder, row_start=37, row_end=93).orderBy("i").collect()] == list(range(37, 93))
+    assert [tuple(r)[:2] for r in m.read_rows(spark, folder, [119, 0]).orderBy("i").collect()] == [(0, 0), (119, 119)]
