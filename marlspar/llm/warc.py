@@ -76,7 +76,10 @@ def iter_records(stream):
         http, _, payload = block.partition(b"\r\n\r\n")
         if fields["warc-type"] == "response" and fields["warc-payload-digest"] != f"sha1:{base32_sha1(payload)}":
             raise ValueError("WARC: payload digest differs")
-        yield fields, _headers(http), payload
+        said = _headers(http)
+        if fields["warc-type"] == "response" and int(said["content-length"]) != len(payload):
+            raise ValueError("WARC: the HTTP content-length isn't the payload's")
+        yield fields, said, payload
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 32 << 20, level: int = 6) -> tuple[DataFrame, str]:

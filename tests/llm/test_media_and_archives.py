@@ -139,3 +139,16 @@ def test_archives_of_awkward_pages(spark):
     assert payloads[7] == "é中" * 90_000 and payloads[11] == "own\r\n\r\nbody"
     assert sum(r[3] == "revisit" for r in warc.read_archives(warc.write_archives(pages, least_bytes=5)[0]).collect()) == 0
     assert warc.read_archives(warc.write_archives(pages.limit(0))[0]).count() == 0
+
+
+def test_http_length_must_be_the_payload_s():
+    import gzip
+
+    plain = gzip.decompress(warc.build_record(1, "http://a/", b"payload"))
+    head, _, rest = plain.partition(b"\r\n\r\n")
+    block = rest[:-4].replace(b"Content-Length: 7", b"Content-Length: 8")
+    old = next(x for x in head.split(b"\r\n") if x.startswith(b"WARC-Block-Digest"))
+    bad = head.replace(old, b"WARC-Block-Digest: sha1:" + warc.base32_sha1(block).encode()) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    with pytest.raises(ValueError, match="HTTP content-length"):
+        list(warc.iter_records(io.BytesIO(gzip.compress(bad))))
+    assert next(warc.iter_records(io.BytesIO(gzip.compress(plain))))[2] == b"payload"
