@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, file_id
 
         from .tokens import encoder
 
-        context, tok = TaskContext.get(), encoder(tokenizer_path)
+        context, tok = TaskContext.get(), encoder(tokenizer_path, 20_000_000)
         kept, ids, sizes, gathered, part = [], [], [], 0, 0
 
         def flush():
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, file_id
             kept, ids, sizes, gathered, part = [], [], [], 0, part + 1
             return out
 
-        for batch in sub_batches(batches):
+        for batch in sub_batches(batches, 8 << 20):
             got, ends = tok.encode(batch.column(1))
             got = np.insert(got, ends, end_id).astype(np.uint32)
             numbers, stops, at = batch.column(0).to_pylist(), np.concatenate([[0], ends + 1 + np.arange(len(ends))]), 0

@@ -159,6 +159,6 @@ class PieceEncoder:
         return ids, np.concatenate([[0], after])[upto]
 
 
-def encoder(tokenizer_path: str) -> PieceEncoder:
-    """One encoder for each Python worker, kept between tasks."""
-    return kept(("encoder", tokenizer_path), lambda: PieceEncoder(tokenizer_path))
+def encoder(tokenizer_path: str, cache_chars: int = 9_000_000) -> PieceEncoder:
+    """One encoder for each Python worker, kept between tasks. Nine million characters take about 200 MB, twenty million 330."""
+    return kept(("encoder", tokenizer_path, cache_chars), lambda: PieceEncoder(tokenizer_path, cache_chars))
