@@ -88,6 +88,16 @@ def test_rows_without_an_id_or_with_the_same_one(documents):
         assert rows_of(spans.remove_repeats(documents(rows), hot=hot, blocks=4)) == brute_repeats(rows)
 
 
+def test_shuffle_pieces_grow_with_the_blocks(documents):
+    """A shuffle's pieces (pairs of partitions) follow the number of blocks, not its square, and results stay."""
+    plan = spans.remove_repeats(documents([(1, "a", "en", "a")]), blocks=1600)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan)]
+    assert dealt and all(n * n <= 64 * 1600 for n in dealt)
+    rng = random.Random(5)
+    rows = licensed(30, rng)
+    assert rows_of(spans.remove_repeats(documents(rows), blocks=150)) == brute_repeats(rows)
+
+
 def test_hot_segments_spread_over_buckets():
     rows = licensed(2000, random.Random(7))
     block = spans.Block([r[0] for r in rows], [r[1].encode() for r in rows])
