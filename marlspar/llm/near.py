@@ -1,15 +1,15 @@
 """Near-duplicates by the Jaccard similarity of five-word shingle sets, as the pipeline's SimHash stage takes them.
 
-Two texts with a similarity of 0.8 differ in about ten of a SimHash's 64 bits, and agreeing bit ranges name such pairs only
-at the cost of most of the corpus. So MinHash bands name the buckets here: a pair at the threshold shares none with
-probability (1 - 0.8 ** 4) ** 24 = 3e-6, a closer pair with less. Within buckets the bit-sliced comparison of SimHashes
-rules pairs out (beyond ``RADIUS`` bits, over four standard deviations from the threshold), and every link is checked on
-the whole shingle sets.
-
-Each bucket is first checked as a star around its centre, the text that shares buckets with the most others, which settles
-large groups in as many pairs as they have texts. What a bucket then still holds in different components is compared where
-the bucket is: the texts outside its largest component are a stated query set against all of its texts, in blocks of bounded
-size, and only links found leave the task.
+Two texts with a similarity of 0.8 differ in about ten of a SimHash's 64 bits, where no few agreeing ranges of bits are
+certain. So a text's SimHash has ``WORDS`` times 64 bits here, and ``BANDS`` ranges of ``BITS`` of them, four shuffles of all
+bits cut in a row, name its buckets: a pair at the threshold differs in 15 % of the bits and shares none with a probability of
+3e-5, a closer pair with less. Within buckets every text is compared with every other one bit-sliced, over two of the words;
+only texts within ``RADIUS_2`` bits go on, as clusters, and every link is checked on the whole shingle sets.
+
+Each cluster is first checked as a star around its centre, the text that shares clusters with the most others, which settles
+large groups in as many pairs as they have texts. What a cluster then still holds in different components is compared where
+the cluster is: the texts outside its largest component are a stated query set against all of its texts, bit-sliced and in
+blocks of bounded size, and only links found leave the task.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import delete_path, kept, sub_batches, write_table
 from .components import connected
-from .simhash import _lanes, _majority, bit_planes, lane_words, near_lanes
+from .simhash import FULL, _lanes, _majority, bit_planes, lane_words, near_lanes, within_radius
 
-WIDTH, SIMILARITY, BANDS, ROWS, RADIUS = 5, 0.8, 24, 4, 22
+WIDTH, SIMILARITY, RADIUS, RADIUS_2 = 5, 0.8, 22, 40  # bits of one word, of two
+WORDS, BITS, SHUFFLES = 8, 14, 4
 #: Shingles of the texts in one block of a bucket.
 BLOCK = 500_000
+#: Lanes of a bucket from which its first texts gather their neighbours, and words compared at once.
+LARGE, SLICE = 1024, 1 << 15
 _RANDOM = np.random.default_rng(42)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_RANGES = np.concatenate([_RANDOM.permutation(64 * WORDS)[: 64 * WORDS // BITS * BITS].reshape(-1, BITS) for _ in range(SHUFFLES)])
+BANDS = len(_RANGES)
 
 
 def shingles_of(text: str | None) -> np.ndarray:
@@ -46,24 +49,27 @@ def shingles_of(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(begins, ends[WIDTH - 1 :] or ends[-1:], strict=False)], dtype=np.uint64))
 
 
-def bands_of(sets: list[np.ndarray], rows: int = 1 << 15) -> np.ndarray:
-    """(texts, BANDS) bucket hashes; sets without shingles share all of theirs."""
-    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    full, at = [i for i, x in enumerate(sets) if len(x)], 0
-    while at < len(full):
-        to, n = at, 0
-        while to < len(full) and (to == at or n + len(sets[full[to]]) <= rows):
-            n += len(sets[full[to]])
-            to += 1
-        part = [sets[i] for i in full[at:to]]
-        flat, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
-        for band in range(BANDS):
-            mixed = np.full(len(part), band + 1, dtype=np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                mixed = (mixed ^ np.minimum.reduceat(flat * _FACTORS[k] + _TERMS[k], starts)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            out[full[at:to], band] = mixed
-        at = to
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """(texts, WORDS) SimHashes: majority bits of the shingles' hashes, and of hashes mixed from them; zero for an empty set."""
+    out, full = np.zeros((len(sets), WORDS), dtype=np.uint64), [i for i, x in enumerate(sets) if len(x)]
+    if full:
+        flat, counts = np.concatenate([sets[i] for i in full]), np.array([len(sets[i]) for i in full])
+        for word in range(WORDS):
+            mixed = flat
+            if word:
+                mixed = (flat ^ flat >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                mixed ^= mixed >> np.uint64(31)
+            out[full, word] = _majority(mixed, counts)
+    return out
+
+
+def buckets_of(prints: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) numbers of buckets: the band and its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    out = np.tile(np.arange(BANDS, dtype=np.int32) << BITS, (len(prints), 1))
+    for k in range(BITS):
+        out |= bits[:, _RANGES[:, k]].astype(np.int32) << k
     return out
 
 
@@ -73,19 +79,130 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
 
 
-def band_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key and the bucket of each band, for every whole text."""
+def print_table(docs: DataFrame) -> DataFrame:
+    """doc_id, key and the wide SimHash, for every whole text."""
 
     def run(batches):
         import pyarrow as pa
 
         kept("near", bool)  # what other operators left in this worker goes
         for batch in sub_batches(batches):
-            found = bands_of([shingles_of(t) for t in batch.column(1).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(found.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["doc_id", "key", "bands"])
+            found = wide_prints([shingles_of(t) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "key", "prints"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, prints binary")
+
+
+def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that the links (a, b) connect one label, the smallest of theirs; labels are positions."""
+    while True:
+        low, high = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
+        apart = low != high
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(labels, high[apart], low[apart])
+        while not np.array_equal(after := labels[labels], labels):
+            labels[:] = after
+
+
+def near_clusters(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """For rows sorted by bucket the position of the first row that each is tied to, over pairs of a bucket within the radius.
+
+    ``prints``: (2, rows). Every lane is asked against all words of its bucket, many at once; in large buckets one of
+    the first lanes gathers its neighbours before, which need no asking: they are tied, and all others are asked against them.
+    """
+    out = np.arange(len(bucket))
+    starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+    sizes = np.diff(np.append(starts, len(bucket)))
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    if not len(starts):
+        return out
+    rows = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())  # lanes in a row, buckets side by side in words
+    ends = np.cumsum(sizes)
+    before = ends - sizes
+    first, words = before // 64, (ends - 1) // 64 - before // 64 + 1
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    planes = [bit_planes(p[rows]) for p in prints]
+
+    def ask(who: np.ndarray, word: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(before[of[who]], 64 * word), np.minimum(ends[of[who]], 64 * word + 64)
+        alive = (FULL >> (64 - high + low).astype(np.uint64)) << (low - 64 * word).astype(np.uint64)  # lanes of the bucket
+        own = who // 64 == word
+        alive[own] &= ~(np.uint64(1) << (who[own] % 64).astype(np.uint64))
+        mine = [p[rows[who]] for p in prints]
+        alive = within_radius((plane[b][word] ^ np.negative(p >> np.uint64(b) & np.uint64(1)) for plane, p in zip(planes, mine, strict=True) for b in range(64)), alive, RADIUS_2)
+        hit = np.flatnonzero(alive)
+        at, bit = np.nonzero(np.unpackbits(alive[hit].view(np.uint8), bitorder="little").reshape(-1, 64))
+        found = rows[64 * word[hit[at]] + bit]
+        _merge(out, rows[who[hit[at]]], found)
+        return found
+
+    asking = np.ones(len(rows), dtype=bool)
+    for k in np.flatnonzero(sizes > LARGE).tolist():
+        for seed in range(before[k], before[k] + 8):
+            found = ask(np.full(words[k], seed), first[k] + np.arange(words[k]))
+            if 16 * len(found) >= sizes[k]:
+                asking[before[k] + found - starts[k]] = False
+                break
+    n = np.where(asking, words[of], 0)
+    asked, at = np.cumsum(n), 0
+    while at < len(rows):
+        done = asked[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(asked, done + SLICE, side="right")))
+        who = np.repeat(np.arange(at, to), n[at:to])
+        if len(who):
+            ask(who, first[of[who]] + np.arange(len(who)) - np.repeat(asked[at:to] - n[at:to] - done, n[at:to]))
+        at = to
+    return out
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+
+def print_clusters(nodes: DataFrame) -> DataFrame:
+    """bucket and node: clusters of texts tied by SimHashes within the radius in some bucket, each set of texts once.
+
+    Columns of ``nodes``: node (long), prints. A bucket's number here is a sum of hashes of its nodes.
+    """
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+                columns = [buckets_of(prints).ravel(), *(np.repeat(x, BANDS) for x in (np.asarray(part.column(0)), prints[:, 0].view(np.int64), prints[:, 1].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "low", "high"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def clusters(bucket, node, low, high):
+            first = near_clusters(bucket, np.stack([low, high]).view(np.uint64))
+            tied = np.bincount(first, minlength=len(first))[first] > 1
+            mixed = (node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            sums = np.zeros(len(first), dtype=np.uint64)
+            np.add.at(sums, first[tied], mixed[tied] ^ mixed[tied] >> np.uint64(32))
+            return pa.RecordBatch.from_arrays([pa.array(sums[first[tied]].view(np.int64)), pa.array(node[tied])], ["bucket", "node"])
+
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([np.asarray(batch.column(i)) for i in range(4)])
+            n += batch.num_rows
+            if n >= 1 << 16:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on in the next batch
+                if cut:
+                    yield clusters(*(x[:cut] for x in rows))
+                held, n = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        if n:
+            yield clusters(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select("node", "prints").mapInArrow(deal, "bucket int, node long, low long, high long")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, node long").distinct()
 
 
 def prints_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -168,7 +285,7 @@ class Lanes:
 def bucket_links(buckets: DataFrame) -> DataFrame:
     """Links (a, b) between components within the blocks of buckets.
 
-    Columns of ``buckets``: band, bucket, block, ask, key, root, print, shingles. Rows with ``ask`` are asked against the
+    Columns of ``buckets``: bucket, block, ask, key, root, print, shingles. Rows with ``ask`` are asked against the
     others of their block; they pass one by one, so a task holds a block at a time.
     """
 
@@ -180,12 +297,12 @@ def bucket_links(buckets: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, bucket, block, ask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keys, roots, prints = (batch.column(i).to_pylist() for i in (4, 5, 6))
-            offsets, flat = np.asarray(batch.column(7).offsets), np.asarray(batch.column(7).values).view(np.uint64)
+            bucket, block, ask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            keys, roots, prints = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            offsets, flat = np.asarray(batch.column(6).offsets), np.asarray(batch.column(6).values).view(np.uint64)
             found = []
             for i in range(batch.num_rows):
-                spot = (band[i], bucket[i], block[i])
+                spot = (bucket[i], block[i])
                 if spot != here:
                     here, gathered, lanes = spot, [], None
                 own = flat[offsets[i] : offsets[i + 1]]
@@ -200,48 +317,49 @@ def bucket_links(buckets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = buckets.select("band", "bucket", "block", "ask", "key", "root", "print", F.array_sort("shingles").alias("shingles"))
-    return dealt.repartition(n, "band", "bucket", "block").sortWithinPartitions("band", "bucket", "block", "ask").mapInArrow(run, "a binary, b binary")
+    dealt = buckets.select("bucket", "block", "ask", "key", "root", "print", F.array_sort("shingles").alias("shingles"))
+    return dealt.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "ask").mapInArrow(run, "a binary, b binary")
 
 
-def key_roots(docs: DataFrame, bands: DataFrame) -> DataFrame:
+def key_roots(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """node and root for each text key whose component has a smaller key."""
     spark = docs.sparkSession
-    nodes = bands.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
-    all_buckets, all_path = write_table(nodes.select("key", "doc_id", F.posexplode("bands").alias("band", "bucket")), "near-bands")
-    shared = all_buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members, members_path = write_table(all_buckets.join(shared, ["band", "bucket"]), "near-buckets")
+    each = prints.groupBy("key").agg(F.first("prints").alias("prints"), F.min("doc_id").alias("doc_id"))
+    nodes, all_path = write_table(each.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    clusters, clusters_path = write_table(print_clusters(nodes), "near-clusters")
+    sized = clusters.join(clusters.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    members, members_path = write_table(sized.join(nodes.select("node", "key", "doc_id"), "node").select("bucket", "key", "doc_id", "n"), "near-buckets")
     wanted = members.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("met"))
     met, met_path = write_table(wanted, "near-keys")
     sets, sets_path = write_table(shingle_table(docs, met), "near-shingles")
-    centres = members.join(met.select("key", "met"), "key").groupBy("band", "bucket").agg(F.max_by("key", F.struct("met", "key")).alias("centre"))
-    stars = _ordered(members.join(centres, ["band", "bucket"]).select(F.col("key").alias("a"), F.col("centre").alias("b")))
+    centres = members.join(met.select("key", "met"), "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("centre"))
+    stars = _ordered(members.join(centres, "bucket").select(F.col("key").alias("a"), F.col("centre").alias("b")))
     links, links_path = write_table(similar(stars, sets), "near-links")
     roots, roots_path = write_table(connected(links), "near-roots")
     # what one bucket still holds in different components
-    named = members.join(roots, members["key"] == roots["node"], "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
+    named = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     named, named_path = write_table(named.join(sets.select("key", F.size("shingles").cast("long").alias("size")), "key"), "near-named")
-    parts = named.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    mixed = parts.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1")
+    parts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1")
     blocks = F.ceil(F.greatest(F.col("all"), F.lit(1)) / BLOCK).cast("int")
     own = F.array(F.struct(F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.lit(False).alias("ask")))
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("ask")))
-    dealt = named.join(mixed, ["band", "bucket"]).select("band", "bucket", "key", "root", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.concat(own, every))).alias("to")).join(sets, "key")
+    dealt = named.join(mixed, "bucket").select("bucket", "key", "root", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.concat(own, every))).alias("to")).join(sets, "key")
     more, more_path = write_table(bucket_links(dealt.select("*", "to.block", "to.ask")), "near-links")
     ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
     across = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     over = connected(_ordered(across))
     merged = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     out, _ = write_table(merged.unionByName(over.select("node", "root")), "near-merged")
-    delete_path(spark, all_path, members_path, met_path, sets_path, links_path, roots_path, named_path, more_path)
+    delete_path(spark, all_path, clusters_path, members_path, met_path, sets_path, links_path, roots_path, named_path, more_path)
     return out
 
 
 def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, key and root (a key) of every row."""
-    bands, path = write_table(band_table(docs), "near-texts")
-    roots = key_roots(docs, bands)
-    out, _ = write_table(bands.select("doc_id", "key").join(roots, bands["key"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "near-rows")
+    prints, path = write_table(print_table(docs), "near-texts")
+    roots = key_roots(docs, prints)
+    out, _ = write_table(prints.select("doc_id", "key").join(roots, prints["key"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "near-rows")
     delete_path(docs.sparkSession, path)
     return out
 

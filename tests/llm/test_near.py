@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -108,3 +109,50 @@ def test_one_row_of_each_component_stays(documents):
     assert "cut_doc" in kept.columns
     assert sorted([(r["doc_id"], r["text"] == other) for r in kept.collect()], key=str) == [(5, False), (8, False), (None, True)]
     assert near.drop_near_duplicates(documents([])).count() == 0
+
+
+def test_similar_texts_share_simhash_buckets_and_lie_within_the_radius():
+    rng = random.Random(16)
+    met = pairs = 0
+    for n in (30, 100, 400):
+        for _ in range(60):
+            base = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+            copy = edited(rng, base, max(1, n // 50))
+            if not similar(base, copy):
+                continue
+            prints = near.wide_prints([near.shingles_of(t) for t in (base, copy)])
+            assert np.array_equal(prints[:, 0], near.prints_of([near.shingles_of(t) for t in (base, copy)]))
+            buckets, distance = near.buckets_of(prints), np.bitwise_count(prints[0, :2] ^ prints[1, :2]).sum()
+            met += bool((buckets[0] == buckets[1]).any()) and distance <= near.RADIUS_2
+            pairs += 1
+    assert met == pairs > 100
+
+
+def test_clusters_of_buckets_against_all_pairs(monkeypatch):
+    """Small, large and single buckets: what lies within the radius in a bucket, and nothing else, is tied."""
+    monkeypatch.setattr(near, "LARGE", 100)
+    monkeypatch.setattr(near, "SLICE", 70)
+    rng = np.random.default_rng(17)
+    bucket = np.sort(np.concatenate([np.arange(40), rng.integers(40, 60, 300), np.full(150, 60), np.full(260, 61)])).astype(np.int32)
+    bases = rng.integers(0, 1 << 63, (2, 9), dtype=np.uint64)
+    prints = bases[:, rng.integers(0, 9, len(bucket))]
+    prints[:, bucket == 60] = bases[:, :1]
+    for _ in range(25):
+        prints ^= np.uint64(1) << rng.integers(0, 64, prints.shape, dtype=np.uint64)
+    apart = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).sum(axis=0)
+    linked = (apart <= near.RADIUS_2) & (bucket[:, None] == bucket[None, :])
+    want = np.arange(len(bucket))
+    while not np.array_equal(least := np.where(linked, want[None, :], len(bucket)).min(axis=1), want):
+        want = least
+    assert np.array_equal(near.near_clusters(bucket, prints), want)
+    assert len(bucket) // 4 < len(np.unique(want)) < len(bucket) - 50
+
+
+def test_stage_buckets_are_simhash_buckets(documents):
+    """The stage's candidates are texts that the bit-sliced comparison leaves in a bucket of SimHash bits."""
+    rng = random.Random(18)
+    base = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(100))
+    texts = [base, edited(rng, base, 1), *(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(100)) for _ in range(30))]
+    nodes = near.print_table(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).select(F.col("doc_id").alias("node"), "prints")
+    found = near.print_clusters(nodes).collect()
+    assert {r["node"] for r in found} == {0, 1} and len({r["bucket"] for r in found}) == 1
