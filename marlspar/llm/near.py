@@ -4,10 +4,10 @@ Two texts with a similarity of 0.8 differ in about ten of a SimHash's 64 bits, w
 certain. So a text's SimHash has ``WORDS`` times 64 bits here, and ``BANDS`` ranges of ``BITS`` of them, four shuffles of all
 bits cut in a row, name its buckets: a pair at the threshold differs in 15 % of the bits and shares none with a probability of
 3e-5, a closer pair with less. Within buckets every text is compared with every other one bit-sliced, over two of the words;
-only texts within ``RADIUS_2`` bits go on, as clusters, and every link is checked on the whole shingle sets.
+only texts within ``RADIUS_2`` bits go on. What they tie over all buckets is a cluster, and every link in one is checked on the
+whole shingle sets.
 
-Each cluster is first checked as a star around its centre, the text that shares clusters with the most others, which settles
-large groups in as many pairs as they have texts. What a cluster then still holds in different components is compared where
+Each cluster is first checked as a star around one text, which settles large groups in as many pairs as they have texts. What a cluster then still holds in different components is compared where
 the cluster is: the texts outside its largest component are a stated query set against all of its texts, bit-sliced and in
 blocks of bounded size, and only links found leave the task.
 """
@@ -22,7 +22,7 @@ from .common import delete_path, kept, sub_batches, write_table
 from .components import connected
 from .simhash import FULL, _lanes, _majority, bit_planes, lane_words, near_lanes, within_radius
 
-WIDTH, SIMILARITY, RADIUS, RADIUS_2 = 5, 0.8, 22, 40  # bits of one word, of two
+WIDTH, SIMILARITY, RADIUS, RADIUS_2 = 5, 0.8, 22, 36  # bits of one word, of two
 WORDS, BITS, SHUFFLES = 8, 14, 4
 #: Shingles of the texts in one block of a bucket.
 BLOCK = 500_000
@@ -158,9 +158,9 @@ def near_clusters(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def print_clusters(nodes: DataFrame) -> DataFrame:
-    """bucket and node: clusters of texts tied by SimHashes within the radius in some bucket, each set of texts once.
+    """bucket (the smallest node) and node: clusters of texts tied by SimHashes within the radius in shared buckets.
 
-    Columns of ``nodes``: node (long), prints. A bucket's number here is a sum of hashes of its nodes.
+    Columns of ``nodes``: node (long), prints. A text is in one cluster; texts that nothing is tied to are in none.
     """
 
     def deal(batches):
@@ -176,14 +176,10 @@ def print_clusters(nodes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def clusters(bucket, node, low, high):
+        def links(bucket, node, low, high):
             first = near_clusters(bucket, np.stack([low, high]).view(np.uint64))
-            tied = np.bincount(first, minlength=len(first))[first] > 1
-            mixed = (node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-            sums = np.zeros(len(first), dtype=np.uint64)
-            np.add.at(sums, first[tied], mixed[tied] ^ mixed[tied] >> np.uint64(32))
-            return pa.RecordBatch.from_arrays([pa.array(sums[first[tied]].view(np.int64)), pa.array(node[tied])], ["bucket", "node"])
+            tied = np.flatnonzero(first != np.arange(len(first)))
+            return pa.RecordBatch.from_arrays([pa.array(node[first[tied]]), pa.array(node[tied])], ["a", "b"])
 
         held, n = [], 0
         for batch in batches:
@@ -195,14 +191,16 @@ def print_clusters(nodes: DataFrame) -> DataFrame:
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on in the next batch
                 if cut:
-                    yield clusters(*(x[:cut] for x in rows))
+                    yield links(*(x[:cut] for x in rows))
                 held, n = [[x[cut:] for x in rows]], len(rows[0]) - cut
         if n:
-            yield clusters(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = nodes.select("node", "prints").mapInArrow(deal, "bucket int, node long, low long, high long")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, node long").distinct()
+    links = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").distinct()
+    found = connected(links)
+    return found.select(F.col("root").alias("bucket"), "node").unionByName(found.select(F.col("root").alias("bucket"), F.col("root").alias("node")).distinct())
 
 
 def prints_of(sets: list[np.ndarray]) -> np.ndarray:

@@ -137,7 +137,7 @@ def test_clusters_of_buckets_against_all_pairs(monkeypatch):
     bases = rng.integers(0, 1 << 63, (2, 9), dtype=np.uint64)
     prints = bases[:, rng.integers(0, 9, len(bucket))]
     prints[:, bucket == 60] = bases[:, :1]
-    for _ in range(25):
+    for _ in range(10):
         prints ^= np.uint64(1) << rng.integers(0, 64, prints.shape, dtype=np.uint64)
     apart = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).sum(axis=0)
     linked = (apart <= near.RADIUS_2) & (bucket[:, None] == bucket[None, :])
