@@ -32,3 +32,21 @@ def test_engine_queries_match_sql(spark):
         want = sorted(repr(dict(zip(columns, r, strict=True))) for r in cursor.fetchall())
         assert sorted(df.columns) == sorted(columns), name
         assert sorted(repr({c: r[c] for c in columns}) for r in df.collect()) == want, name
+
+
+def test_bloom_probe_is_exact_where_the_filter_is_full(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marlspar import queries
+
+    full = list(range(900_000))  # over four times the keys that its filter is made for
+    for name, keys in {"full": full, "gaps": [3 * k for k in full], "gaps_nulls": [*(3 * k for k in full), None], "held": [*queries._PROBES, None], "few_nulls": [None, 7], "nulls": [None], "empty": []}.items():
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"o_custkey": pa.array(keys, pa.int64())}), tmp_path / name / "orders.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path / name}/orders.parquet'")
+        want = db.execute(queries.ORACLES["bloom_probe"]).fetchall()
+        got = [tuple(r) for r in queries.QUERIES["bloom_probe"](spark, str(tmp_path / name)).collect()]
+        assert sorted(got) == sorted(want), name
